@@ -1,11 +1,14 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import exact_dedup, pieces, sharding
+from . import exact_dedup, fingerprints, license_scan, packing, pieces, sharding
 
 QUERIES = {
     "op1_feistel_shards": sharding.op1,
+    "op2_license_scan": license_scan.op2,
     "op4_piece_ids": pieces.op4,
     "op7_exact_dedup": exact_dedup.op7,
+    "op9_best_fit_packing": packing.op9,
+    "op10_merkle_fingerprints": fingerprints.op10,
 }
 
 ORACLES = {
