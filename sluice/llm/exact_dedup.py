@@ -16,7 +16,13 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import common
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore."
+#: State in RocksDB files; only changes are uploaded, and no space is reserved ahead for each of many small stores.
+STATE_SETTINGS = {
+    f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}rocksdb.allowFAllocate": "false",
+}
 
 #: Digests seen more than once are broadcast for the byte check up to this many (about 50 MB), joined by shuffle beyond.
 BROADCAST_DIGESTS = 400_000
@@ -37,14 +43,15 @@ def _state(spark: SparkSession, slim: DataFrame, path: str, files_per_batch: int
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")  # a replayed batch replaces its own rows
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = held.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = StructType([*held.schema.fields, StructField("batch_id", IntegerType())])
     updates = spark.read.schema(schema).option("basePath", out).parquet(out)
     return updates.groupBy("digest").agg(F.max_by(F.struct("top", "group_size"), "batch_id").alias("s")).select("digest", "s.top", "s.group_size")
