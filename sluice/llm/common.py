@@ -81,9 +81,8 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch of about `most` text bytes each; a longer text stands alone."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+def blocks_of(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `most` bytes each; a larger row stands alone."""
     start = held = 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most:
@@ -94,6 +93,11 @@ def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES)
         yield start, len(sizes)
 
 
+def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch by the bytes of a column."""
+    return blocks_of(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist(), most)
+
+
 def map_texts(docs: DataFrame, keep: list[str], made: list[str], schema: str, make: Callable[[], Callable[[list[str]], list[list]]], text: str = "text") -> DataFrame:
     """Rows of `keep` with the columns `made` that make() derives from the texts (null: empty), by Arrow blocks.
 
