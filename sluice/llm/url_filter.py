@@ -55,18 +55,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def link_of(url: Column, html: Column) -> Column:
-    """The canonical link or redirect that a page states, as an absolute URL; null if it has none."""
+def links(pages: DataFrame) -> DataFrame:
+    """url, target: the canonical link or redirect that each page's html states, as an absolute URL; pages without one are left out."""
     quoted = r"""\s*=\s*["']?([^"'>\s]+)"""
-    tag = lambda pattern: F.regexp_extract(html, pattern, 0)
-    canonical = F.regexp_extract(tag(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), f"(?is)\\bhref{quoted}", 1)
-    refresh = F.regexp_extract(tag(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), f"(?is)\\burl{quoted}", 1)
-    target = F.when(canonical != "", canonical).when(refresh != "", refresh)
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    base = F.concat(scheme, F.lit("://"), host_of(url))
-    folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
-    absolute = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-    return absolute.when(target.startswith("/"), F.concat(base, target)).when(target.rlike("^[#?]|^[A-Za-z]+:"), None).otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), target))
+    html = F.lower(F.col("html"))
+    rows = pages.select(pages["url"], pages["html"]).filter(html.contains("canonical") | html.contains("refresh"))
+    # one step a projection: an expression that is used again is computed once
+    rows = rows.select("url", F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0).alias("link"), F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0).alias("meta"))
+    rows = rows.select("url", F.regexp_extract("link", f"(?is)\\bhref{quoted}", 1).alias("canonical"), F.regexp_extract("meta", f"(?is)\\burl{quoted}", 1).alias("refresh"))
+    rows = rows.select("url", F.when(F.col("canonical") != "", F.col("canonical")).when(F.col("refresh") != "", F.col("refresh")).alias("t")).filter("t IS NOT NULL")
+    rows = rows.select("url", "t", F.regexp_extract("url", r"(?s)^(.*?)://", 1).alias("scheme"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.select("url", "t", "scheme", F.concat("scheme", F.lit("://"), "host").alias("base"), F.concat(F.lit("/"), F.regexp_extract("path", r"(?s)^/(.*/)", 1)).alias("folder"))
+    t = F.col("t")
+    whole = F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat("scheme", F.lit(":"), "t")).when(t.startswith("/"), F.concat("base", "t"))
+    return rows.select("url", whole.when(t.rlike("^[#?]|^[A-Za-z]+:"), None).otherwise(F.concat("base", "folder", "t")).alias("target"))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -77,12 +79,11 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     other columns are ignored. component is the smallest alias, null for URLs without edges.
     """
     common.ready(pages.sparkSession)
-    url, html = pages["url"], pages["html"]
-    stated = F.lower(html).contains("canonical") | F.lower(html).contains("refresh")
-    edges = pages.filter(stated).select(node_of(url).alias("a"), node_of(link_of(url, html)).alias("b"))
+    url = pages["url"]
+    edges = common.staged(links(pages), "links").select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(redirects["source_url"]).alias("a"), node_of(redirects["target_url"]).alias("b")))
-    edges = common.staged(edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b"), "links")
+    edges = common.staged(edges, "link-nodes").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
     rows = pages.select(pages["page_id"], host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "node", "fit.rule", F.col("fit.verdict").alias("own"))
@@ -90,7 +91,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         return rows.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("component"))
     groups = common.staged(connected_components(edges), "aliases")
     url = F.concat(F.lit("x://"), F.col("node"))
-    ruled = groups.select("node", "component", rule_of(host_of(url), path_of(url), rules)["verdict"].alias("own"))
+    ruled = groups.select("component", host_of(url).alias("host"), path_of(url).alias("path")).select("component", rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("own"))
     decided = ruled.groupBy("component").agg(F.max(F.when(F.col("own") == "allow", 1)).alias("allowed"), F.max(F.when(F.col("own") == "block", 1)).alias("blocked"))
     alias = F.when(F.col("allowed") == 1, "allow").when(F.col("blocked") == 1, "block")
     by_node = groups.join(decided, "component").select("node", "component", alias.alias("alias"))
