@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,68 +25,76 @@ from . import common
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a group that one task packs; the second round takes bins filled below this part of the capacity.
 GROUP_PIECES, LOOSE_BELOW = 16_000, 0.98
-#: Words that a task's table holds at most; longer ones are not kept.
-TABLE_WORDS, KEPT_CHARS = 600_000, 64
-_STOPS = frozenset(".,;:!?")
+#: Words and token runs that a worker's table holds at most; a full one starts anew. Longer ones are not kept.
+TABLE_WORDS, TABLE_RUNS, KEPT_CHARS = 900_000, 500_000, 64
+_TABLES: dict = {}
+
+
+def _table(path: str):
+    """A worker's table, which its next tasks use again."""
+    if path not in _TABLES:
+        _TABLES[path] = Words(path)
+    return _TABLES[path]
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable Latin-1 as itself, others from U+0100 on in turn."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Words(dict):
     """White-space separated word -> its ids as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn.
+    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. Words of
+    printable ASCII and Latin letters, whose lower case and normal form are plain, are cut into tokens' runs here and
+    each distinct run goes through the merges once; any other word goes through the whole tokenizer.
     """
 
+    _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+    _RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ſ]+")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.merges = tokenizers.Tokenizer.from_file(path)
+        self.merges.normalizer = tokenizers.normalizers.Sequence([])
+        self.merges.pre_tokenizer = tokenizers.pre_tokenizers.WhitespaceSplit()
         pieces = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(pieces.values()) + 1, dtype=bool)
         self.ends[[i for p, i in pieces.items() if p.endswith("</w>")]] = True
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters only, many to a call: each ends at the one word-end token that it has."""
-        out: dict[str, bytes] = {}
-        parts = [words[i : i + 400] for i in range(0, len(words), 400)]
-        for part, ids in zip(parts, self._ids([" ".join(p) for p in parts]), strict=True):
-            ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1 if ids.size else np.empty(0, int)
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-                out.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-            else:
-                out.update((w, x.tobytes()) for w, x in zip(part, self._ids(part), strict=True))
-        return out
-
-    def _stem(self, word: str, letters: dict[str, bytes]) -> bytes | None:
-        """Ids of a word of letters that stays one token run when a stop follows; some letters fall apart in lower case."""
-        raw = letters.get(word) or (self.get(word) if word.isalpha() else None)
-        if raw and not word.isascii():
-            ids = np.frombuffer(raw, dtype="<u4")
-            if ids.max() >= len(self.ends) or self.ends[ids].sum() != 1:
-                return None
-        return raw
+        self.runs: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def _fill_runs(self, new: list[str]) -> None:
+        shown = [r if r.isascii() else r.encode().decode("latin-1").translate(self.letters) for r in new]
+        calls = [" ".join(shown[i : i + 400]) for i in range(0, len(shown), 400)]
+        raw = b"".join([np.array(e.ids, dtype="<u4").tobytes() for e in self.merges.encode_batch_fast(calls, add_special_tokens=False)])
+        cuts = [0, *((np.flatnonzero(self.ends[np.frombuffer(raw, dtype="<u4")]) + 1) * 4).tolist()]
+        if len(cuts) != len(new) + 1:
+            raise ValueError("a run must end at its one word end")
+        self.runs.update((r, raw[a:b]) for r, a, b in zip(new, cuts, cuts[1:], strict=False))
 
     def fill(self, wanted: set[str]) -> None:
         """Tokenizes the words that the table lacks."""
         if len(self) > TABLE_WORDS:
             self.clear()
+        if len(self.runs) > TABLE_RUNS:
+            self.runs.clear()
         new = [w for w in wanted if w not in self]
-        stems = {w[:-1] if w[-1:] in _STOPS else w for w in new}
-        letters = self._letters([w for w in stems if w.isalpha() and w not in self])
-        stops = {s: self._ids([s])[0].tobytes() for s in _STOPS}
-        rest = []
-        for w in new:
-            if w in letters:
-                self[w] = letters[w]
-            elif w[-1:] in _STOPS and (stem := self._stem(w[:-1], letters)):
-                self[w] = stem + stops[w[-1]]
-            else:
-                rest.append(w)
-        self.update((w, x.tobytes()) for w, x in zip(rest, self._ids(rest), strict=True))
+        plain = self._PLAIN.fullmatch
+        cut = {w: self._RUNS.findall(w.lower()) for w in new if plain(w) and "<|" not in w}
+        self._fill_runs([r for r in set().union(*cut.values()) if r not in self.runs])
+        runs = self.runs
+        self.update((w, runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])) for w, own in cut.items())
+        rest = [w for w in new if w not in cut]
+        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, found, strict=True))
+        for r in [r for own in cut.values() for r in own if len(r) > KEPT_CHARS]:
+            runs.pop(r, None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
@@ -105,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words(tokenizer)
+        table = _table(tokenizer)
         for batch in batches:
             for a, b in common.blocks(batch):
                 part = batch.slice(a, b - a)
