@@ -20,6 +20,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common
 from .components import connected_components
@@ -82,7 +83,6 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     A block of rows sends each of its n-grams once: those in several rows without the row, others with it; so a common
     n-gram costs its bucket one entry a block. Buckets answer with one array of counts a block.
     """
-    spark = docs.sparkSession
     bits = np.uint64(40)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +108,7 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 block = (part << 24) + turn
                 turn += 1
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = [(-1, block, b"", b"", b"", pd.Series(own.column(0).to_pylist(), dtype="Int64").to_list(), sizes.tolist(), [signature(s) for s in sets], credit.tolist())]
+                out = [(-1, block, b"", b"", b"", own.column(0).to_pylist(), sizes.tolist(), [signature(s) for s in sets], credit.tolist())]
                 for k in range(buckets):
                     x, y = cuts[k], cuts[k + 1]
                     if x < y:
@@ -333,12 +333,60 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     parts = connected_components(links)
     named = parts.join(sets.select(F.col("idx").alias("node"), "sig"), "node").join(classes.select("sig", "doc_id"), "sig")
     named = common.staged(named.select("component", "sig", "doc_id"), "named")
-    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(lowest, "component").select("sig", "component_id")
-    own = classes.join(of, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("sig").alias("group_id"))
+    of = named.join(lowest, "component").select("sig", "component_id", "group_id")
+    own = classes.join(of, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group_id", "sig").alias("group_id"))
     rows = credits.join(own, "sig", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"), F.when(F.col("n") > 0, F.col("group_id")).alias("group_id"))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, without those that a kept one is linked with or equals in its n-grams.
+
+    Of each component the row with the smallest doc_id stays, of several such the one of the smallest signature, of
+    repeated rows one; rows without words all stay.
+    """
+    found = common.staged(link_components(docs, words, percent), "linked")
+    stay = found.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.min(F.struct("doc_id", "class_id")).alias("s")).select("s.*")
+    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return _keep_rows(docs, stay, words)
+    gone = found.filter(F.col("group_id").isNotNull()).join(stay, ["doc_id", "class_id"], "left_anti").select(F.col("doc_id").alias("gone_id"))
+    gone = common.staged(gone, "gone")
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(small, docs["doc_id"] == F.col("gone_id"), "left_anti")
+
+
+def _keep_rows(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
+    """keep_one() where a doc_id has several rows: rows are told apart by their sets' signatures and a row number."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [grams(t, words) for t in pa.compute.fill_null(batch.column(at), "").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([signature(g) if len(g) else None for g in sets], pa.string())], names=[*(f"c{i}" for i in range(len(docs.columns))), "class_id"])
+
+    schema = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)), StructField("class_id", StringType())])
+    rows = common.staged(docs.mapInArrow(run, schema).withColumn("row_no", F.monotonically_increasing_id()), "signed")
+    key = F.col(f"c{docs.columns.index('doc_id')}")
+    first = rows.join(stay.select(F.col("doc_id").alias("s_id"), F.col("class_id").alias("s_class")), key.eqNullSafe(F.col("s_id")) & (F.col("class_id") == F.col("s_class")))
+    first = first.groupBy("s_id", "s_class").agg(F.min("row_no").alias("row_no")).select("row_no")
+    kept = rows.filter("class_id IS NULL").unionByName(rows.join(first, "row_no", "left_semi").select(rows.columns))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(common.documents(spark, sf_dir))
+    return link_components(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.at = e.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.at) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

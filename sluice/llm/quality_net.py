@@ -8,6 +8,7 @@ into one probability. Trained on a bounded sample of labelled rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,25 +143,22 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     return p
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """(text, label) of at most `rows` labelled documents of each class, chosen by a hash of doc_id, never held-out ones."""
+def pick(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], most: int) -> list[tuple[str, int]]:
+    """(text, label) of at most rows[y] documents labelled y and of `most` characters, chosen by a hash of doc_id, never held-out ones."""
     spark = docs.sparkSession
-    mine = labels.select(labels["doc_id"], F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~common.held_out())
-    picked = None
-    for y in (0, 1):
-        # twice as many ids as rows wanted: some may not be in docs, or be long
-        own = mine.filter(F.col("y") == y).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-        picked = own if picked is None else picked.unionByName(own)
-    ids = spark.createDataFrame(picked.collect(), "doc_id long, y int")
-    own = docs.select(docs["doc_id"], docs["text"]).filter(F.length("text") <= most).join(F.broadcast(ids), "doc_id")  # 4 x rows ids at most
-    found = []
-    for y in (0, 1):
-        found += own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
-    return [(r["text"], r["y"]) for r in found]
+    mine = labels.select(labels["doc_id"], labels[label].cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out()).dropDuplicates(["doc_id"])
+    ids = []
+    for y, n in rows.items():
+        # more ids than rows wanted: some may not be in docs, or be long
+        ids += mine.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n + n // 4).collect()
+    table = spark.createDataFrame(ids, "doc_id long, y int")
+    own = docs.select(docs["doc_id"], docs["text"]).filter(F.length("text") <= most).join(F.broadcast(table), "doc_id").collect()  # 1.25 x rows at most
+    own.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"]))
+    return [(r["text"], r["y"]) for y, n in rows.items() for r in [x for x in own if x["y"] == y][:n]]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
-    found = sample(docs, labels, "quality", rows)
+    found = pick(docs, labels, "quality", {0: rows, 1: rows}, SAMPLE_CHARS)
     return fit([t.encode() for t, _ in found], [y for _, y in found])
 
 

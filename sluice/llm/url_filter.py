@@ -100,7 +100,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ready(spark)
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("component")
 
 
 #: For tables whose pages state no links; the links of those that do are tested against brute force.
@@ -112,5 +112,5 @@ WITH p AS (
 r(h, pre, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (SELECT page_id, host, path, url, arg_max(h || pre, length(h || pre)) AS rule, arg_max(v, length(h || pre)) AS own
       FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL)
-SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict, CAST(NULL AS VARCHAR) AS component FROM m
+SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict FROM m
 """
