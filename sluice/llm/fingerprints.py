@@ -150,7 +150,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(docs["doc_id"]).repartitionByRange(n, "doc_id")
-    firsts = sorted(r[0] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect() if r[0] is not None)
+    firsts = [r["least"] for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least")).collect() if r["least"] is not None]
     starts = np.array(sorted(set(firsts)), dtype=np.int64)
     count = max(1, len(starts))
 
@@ -167,7 +167,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
     own = ranges("doc_id", F.coalesce(F.col("doc_id") == lowest, F.lit(True)))
     dealt = rows.withColumn("r", F.when(is_lowest, F.array_union(own, F.array(F.lit(-1)))).otherwise(own))
-    dealt = dealt.select("doc_id", "text", F.posexplode("r").alias("k", "r"))
+    dealt = dealt.select("doc_id", "text", F.posexplode_outer("r").alias("k", "r"))
     dealt = dealt.select("doc_id", "text", (F.col("k") > 0).alias("ahead"), F.pmod(F.col("r"), F.lit(count)).alias("r"))
     return dealt.repartitionById(count, F.col("r").cast("int")).sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_first(), "text").drop("r")
 
