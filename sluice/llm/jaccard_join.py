@@ -32,6 +32,8 @@ BUCKET_GRAMS, BLOCK_DOCS, COLUMNS = 2_000_000, 256, 8192
 LARGE, ROUNDS = 1024, 3
 #: Rows of a slim table (16 bytes each) that is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Text bytes of a block that the first exchange sends at once; its arrays take some twenty times as much.
+SENT_BLOCK = 4 << 20
 #: Hash bits besides the bucket that the first exchange sends; equal ones only weaken its bound.
 _SENT_BYTES = 5
 
@@ -88,14 +90,15 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b in common.blocks(batch, most=16 << 20):
+            for a, b in common.blocks(batch, most=SENT_BLOCK):
                 own = batch.slice(a, b - a)
                 sets = [grams(t, words) for t in pa.compute.fill_null(own.column(1), "").to_pylist()]
-                sizes = np.array([len(s) for s in sets])
+                sizes, sigs = np.array([len(s) for s in sets]), [signature(s) for s in sets]
                 flat = np.concatenate(sets)
-                row = np.repeat(np.arange(len(sets)), sizes)
+                sets = None
+                row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
                 # buckets by high bits, then the sent bits below them
-                bucket = ((flat >> bits) % np.uint64(buckets)).astype(np.int64)
+                bucket = ((flat >> bits) % np.uint64(buckets)).astype(np.int32)
                 code = flat & ((np.uint64(1) << bits) - np.uint64(1))
                 order = np.lexsort((code, bucket))
                 bucket, code, row = bucket[order], code[order], row[order]
@@ -103,17 +106,15 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 new[1:] = (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])
                 start = np.flatnonzero(new)
                 several = np.diff(np.append(start, len(code))) > 1
-                credit = np.bincount(row[np.repeat(several, np.diff(np.append(start, len(code))))], minlength=len(sets))
+                credit = np.bincount(row[np.repeat(several, np.diff(np.append(start, len(code))))], minlength=len(sizes))
                 bucket, code, row = bucket[start], code[start], row[start]
                 block = (part << 24) + turn
                 turn += 1
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = [(-1, block, b"", b"", b"", own.column(0).to_pylist(), sizes.tolist(), [signature(s) for s in sets], credit.tolist())]
-                for k in range(buckets):
-                    x, y = cuts[k], cuts[k + 1]
-                    if x < y:
-                        once = ~several[x:y]
-                        out.append((k, block, _pack40(code[x:y][once]), row[x:y][once].astype("<u4").tobytes(), _pack40(code[x:y][~once]), None, None, None, None))
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                out = [(-1, block, b"", b"", b"", own.column(0).to_pylist(), sizes.tolist(), sigs, credit.tolist())]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    once = ~several[x:y]
+                    out.append((int(bucket[x]), block, _pack40(code[x:y][once]), row[x:y][once].astype("<u4").tobytes(), _pack40(code[x:y][~once]), None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SENT, strict=True)], names=_SENT_NAMES)
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
