@@ -25,18 +25,10 @@ from . import common
 CAPACITY, END_ID = 4096, 1
 #: Pieces of a group that one task packs; the second round takes bins filled below this part of the capacity.
 GROUP_PIECES, LOOSE_BELOW = 16_000, 0.98
-#: Words and token runs that a worker's table holds at most; a full one starts anew. Longer ones are not kept.
-TABLE_WORDS, TABLE_RUNS, KEPT_CHARS = 900_000, 500_000, 64
-_TABLES: dict = {}
-
-
-def _table(path: str):
-    """A worker's table, which its next tasks use again."""
-    if path not in _TABLES:
-        _TABLES[path] = Words(path)
-    return _TABLES[path]
-
-
+#: Token runs that a worker's table holds at most; a full one starts anew. Longer ones are not kept.
+TABLE_RUNS, KEPT_CHARS = 600_000, 64
+#: Text bytes that are cut at once; each distinct run in them is looked up once.
+CUT_BYTES = 8 << 20
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write each byte: printable Latin-1 as itself, others from U+0100 on in turn."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -44,16 +36,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class Words(dict):
-    """White-space separated word -> its ids as little-endian 32-bit bytes.
+class Words:
+    """Ids of texts by a table of distinct token runs.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn. Words of
-    printable ASCII and Latin letters, whose lower case and normal form are plain, are cut into tokens' runs here and
-    each distinct run goes through the merges once; any other word goes through the whole tokenizer.
+    Merges never cross the runs that the tokenizer cuts a text into, so a text's ids are those of its runs in turn.
+    Texts of ASCII and Latin letters, whose lower case and normal form are plain, are cut here and each distinct run
+    goes through the merges once; any other text goes through the whole tokenizer, word by word.
     """
 
-    _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
-    _RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ſ]+")
+    _LETTERS = "a-zÀ-ÖØ-öø-įı-ſ"
+    #: Texts that hold any of these, or a special token's opening, aren't plain.
+    _OTHER = f"[^\\t\\n\\r -~A-Z{_LETTERS}]|<\\|"
+    _RUNS = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+)"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,7 +63,11 @@ class Words(dict):
         self.runs: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
-    def _fill_runs(self, new: list[str]) -> None:
+    def _fill(self, wanted: list[str]) -> None:
+        """Sends the runs that the table lacks through the merges, many to a call; each ends at its one word end."""
+        if len(self.runs) > TABLE_RUNS:
+            self.runs.clear()
+        new = [r for r in wanted if r not in self.runs]
         shown = [r if r.isascii() else r.encode().decode("latin-1").translate(self.letters) for r in new]
         calls = [" ".join(shown[i : i + 400]) for i in range(0, len(shown), 400)]
         raw = b"".join([np.array(e.ids, dtype="<u4").tobytes() for e in self.merges.encode_batch_fast(calls, add_special_tokens=False)])
@@ -78,34 +76,50 @@ class Words(dict):
             raise ValueError("a run must end at its one word end")
         self.runs.update((r, raw[a:b]) for r, a, b in zip(new, cuts, cuts[1:], strict=False))
 
-    def fill(self, wanted: set[str]) -> None:
-        """Tokenizes the words that the table lacks."""
-        if len(self) > TABLE_WORDS:
-            self.clear()
-        if len(self.runs) > TABLE_RUNS:
-            self.runs.clear()
-        new = [w for w in wanted if w not in self]
-        plain = self._PLAIN.fullmatch
-        cut = {w: self._RUNS.findall(w.lower()) for w in new if plain(w) and "<|" not in w}
-        self._fill_runs([r for r in set().union(*cut.values()) if r not in self.runs])
-        runs = self.runs
-        self.update((w, runs[own[0]] if len(own) == 1 else b"".join([runs[r] for r in own])) for w, own in cut.items())
-        rest = [w for w in new if w not in cut]
-        found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(rest, found, strict=True))
-        for r in [r for own in cut.values() for r in own if len(r) > KEPT_CHARS]:
-            runs.pop(r, None)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        pc = pa.compute
+        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), self._RUNS, "\\1 ")
+        lists = pc.utf8_split_whitespace(spaced)
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._fill([r for r in distinct if r])
+        own = [self.runs[r] if r else b"" for r in distinct]
+        for r in distinct:
+            if len(r) > KEPT_CHARS:
+                del self.runs[r]
+        size = np.array([len(x) // 4 for x in own], dtype=np.int64)
+        ids, first = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4).tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _any(self, text: str) -> bytes:
+        """By white-space separated words, so that a very long text stays cheap."""
+        words = re.split("[ \n\t\r]+", text)
+        distinct = [w for w in dict.fromkeys(words) if w]
+        known = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(distinct, self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False), strict=True)}
+        return b"".join([known[w] for w in words if w])
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian 32-bit bytes."""
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        wanted = set().union(*words)
-        self.fill(wanted)
-        out = [b"".join([self[w] for w in own]) for own in words]
-        for w in wanted:
-            if len(w) > KEPT_CHARS:
-                del self[w]
-        return out
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        other = pa.compute.match_substring_regex(texts, self._OTHER)
+        plain = texts.filter(pa.compute.invert(other))
+        found = iter(self._plain(plain) if len(plain) else [])
+        return [self._any(t.as_py()) if o else next(found) for t, o in zip(texts, other.to_pylist(), strict=True)]
+
+
+_TABLES: dict = {}
+
+
+def _table(path: str) -> Words:
+    """A worker's table, which its next tasks use again."""
+    if path not in _TABLES:
+        _TABLES[path] = Words(path)
+    return _TABLES[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -116,10 +130,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(tokenizer)
         for batch in batches:
-            for a, b in common.blocks(batch):
+            for a, b in common.blocks(batch, most=CUT_BYTES):
                 part = batch.slice(a, b - a)
                 out: list[tuple] = []
-                for key, raw in zip(part.column("doc_id").to_pylist(), table.encode(pa.compute.fill_null(part.column("text"), "").to_pylist()), strict=True):
+                for key, raw in zip(part.column("doc_id").to_pylist(), table.encode(pa.compute.fill_null(part.column("text"), "")), strict=True):
                     raw += end
                     n = len(raw) // 4
                     for k, start in enumerate(range(0, n, capacity)):
