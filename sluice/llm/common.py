@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,8 +23,15 @@ ROOT = str(Path(__file__).resolve().parents[2])
 BLOCK_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch, where the session has Spark's own default: texts are long, and both sides hold a batch.
+BATCH_ROWS = "1000"
+
+
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver runs from."""
+    """Lets Python workers import this package wherever the driver runs from, and keeps Arrow batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -81,6 +90,13 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def give_back() -> None:
+    """Returns memory that a worker's last task left unused to the system; the worker may wait long for its next one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def blocks_of(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes each; a larger row stands alone."""
     start = held = 0
@@ -118,5 +134,6 @@ def map_texts(docs: DataFrame, keep: list[str], made: list[str], schema: str, ma
                 texts = pa.compute.fill_null(part.column(text), "").to_pylist()
                 columns = work(texts)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=[*keep, *made])
+        give_back()
 
     return slim(docs, *dict.fromkeys([*keep, text])).mapInArrow(run, out)

@@ -22,6 +22,9 @@ STATE_SETTINGS = {
     f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}rocksdb.allowFAllocate": "false",
+    f"{_STORE}rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}rocksdb.maxMemoryUsageMB": "100",
+    f"{_STORE}rocksdb.writeBufferSizeMB": "4",
 }
 
 #: Digests seen more than once are broadcast for the byte check up to this many (about 50 MB), joined by shuffle beyond.

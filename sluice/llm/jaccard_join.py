@@ -116,6 +116,7 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                     once = ~several[x:y]
                     out.append((int(bucket[x]), block, _pack40(code[x:y][once]), row[x:y][once].astype("<u4").tobytes(), _pack40(code[x:y][~once]), None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SENT, strict=True)], names=_SENT_NAMES)
+        common.give_back()
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         once = [_unpack40(x) for x in frame["once"]]
@@ -167,6 +168,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 out = [(s, len(g), g.view(np.int64)) for s, t in zip(*(c.to_pylist() for c in own.columns), strict=True) if signature(g := grams(t or "", words)) == s]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["sig", "n", "grams"])
+        common.give_back()
 
     rows = found.mapInArrow(run, "sig string, n long, grams array<long>")
     # repeated rows and repeated ids give a class twice

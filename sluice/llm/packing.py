@@ -140,6 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         out.append((key, k, start, min(capacity, n - start), zlib.crc32(raw[start * 4 : (start + capacity) * 4])))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        common.give_back()
 
     found = common.slim(docs, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
     return found.withColumn("row_no", F.monotonically_increasing_id())

@@ -181,6 +181,7 @@ def classify(docs: DataFrame, p: dict, threshold: float = THRESHOLD) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scored(p, batch, 1), pa.float64())], names=["doc_id", "score"])
+        common.give_back()
 
     found = common.slim(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return found.select("doc_id", common.held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
@@ -194,6 +195,7 @@ def keep_good(docs: DataFrame, p: dict, threshold: float = THRESHOLD) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([s >= threshold for s in _scored(p, batch, at)], pa.bool_()))
+        common.give_back()
 
     return docs.mapInArrow(run, StructType(docs.schema.fields))
 

@@ -190,6 +190,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD)
         for batch in batches:
             texts = pa.compute.fill_null(batch.column(at), "").to_pylist()
             yield batch.filter(pa.array([s < threshold for s in score(texts)], pa.bool_()))
+        common.give_back()
 
     return docs.mapInArrow(run, StructType(docs.schema.fields))
 
