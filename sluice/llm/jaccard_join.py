@@ -361,12 +361,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def _keep_rows(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
     """keep_one() where a doc_id has several rows: rows are told apart by their sets' signatures and a row number."""
-    at = docs.columns.index("text")
+    at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [grams(t, words) for t in pa.compute.fill_null(batch.column(at), "").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([signature(g) if len(g) else None for g in sets], pa.string())], names=[*(f"c{i}" for i in range(len(docs.columns))), "class_id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([signature(g) if len(g) else None for g in sets], pa.string())], names=[*(f"c{i}" for i in range(width)), "class_id"])
 
     schema = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)), StructField("class_id", StringType())])
     rows = common.staged(docs.mapInArrow(run, schema).withColumn("row_no", F.monotonically_increasing_id()), "signed")

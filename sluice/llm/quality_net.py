@@ -103,7 +103,8 @@ def _gradients(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -
     d_total, d_most = np.zeros_like(most), np.zeros_like(most)
     for k in (0, 1):
         d_total[s + k] += d_chunk[:, :FILTERS] / (2 * STEPS)
-        d_most[s + k] += d_chunk[:, FILTERS:] * (most[s + k] >= most[s + 1 - k])
+        mine, other = most[s + k], most[s + 1 - k]
+        d_most[s + k] += d_chunk[:, FILTERS:] * np.where(mine > other, 1, np.where(mine == other, 0.5, 0))
     topped = h3 == most[:, None, :]
     d_h = d_total[:, None, :] + topped * (d_most / np.maximum(1, topped.sum(1)))[:, None, :]
     d_z = np.where(h > 0, d_h.reshape(n, FILTERS), 0).astype(np.float32)
