@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -28,8 +28,9 @@ from .components import connected_components
 WORDS, PERCENT = 5, 75
 #: n-grams that one task of an exchange holds, about; documents of a block of the product; columns multiplied at once.
 BUCKET_GRAMS, BLOCK_DOCS, COLUMNS = 2_000_000, 256, 8192
-#: Candidate components beyond so many documents are thinned by leaders first, in so many rounds.
-LARGE, ROUNDS = 1024, 3
+#: Candidate components beyond so many documents are thinned by leaders first, in so many rounds; there a document
+#: looks for leaders under so many of its keys, the most common ones.
+LARGE, ROUNDS, LEADER_KEYS = 1024, 3, 3
 #: Rows of a slim table (16 bytes each) that is broadcast at most; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes of a block that the first exchange sends at once; its arrays take some twenty times as much.
@@ -203,7 +204,10 @@ def _groups(keys: DataFrame) -> DataFrame:
 
 def _lead(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links found by exact comparison with leaders, and idx, comp: the components that they make, of the sets in keys."""
+    counts = keys.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    own = Window.partitionBy("idx").orderBy(F.col("c").desc(), "gram")  # a document's keys
     links, comp = None, keys.select("idx").distinct().withColumn("comp", F.col("idx"))
+    keys = common.staged(keys.join(counts, "gram").withColumn("k", F.row_number().over(own)).filter(F.col("k") <= LEADER_KEYS).select("gram", "idx", "n"), "leader-keys")
     comp = common.staged(comp, "alone")
     arrays = sets.select("idx", "n", "grams")
     for turn in range(ROUNDS):
