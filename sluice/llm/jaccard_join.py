@@ -112,7 +112,7 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 block = (part << 24) + turn
                 turn += 1
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                out = [(-1, block, b"", b"", b"", own.column(0).to_pylist(), sizes.tolist(), sigs, credit.tolist())]
+                out = [(-1 - block, block, b"", b"", b"", own.column(0).to_pylist(), sizes.tolist(), sigs, credit.tolist())]
                 for x, y in zip(cuts, cuts[1:], strict=False):
                     once = ~several[x:y]
                     out.append((int(bucket[x]), block, _pack40(code[x:y][once]), row[x:y][once].astype("<u4").tobytes(), _pack40(code[x:y][~once]), None, None, None, None))
@@ -120,6 +120,8 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
         common.give_back()
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:  # a block's own rows pass through
+            return frame[["block", "ids", "sizes", "sigs", "credit"]].assign(counts=None)
         once = [_unpack40(x) for x in frame["once"]]
         several = [_unpack40(x) for x in frame["several"]]
         # a code of several rows of a block counts twice, so that others that hold it are credited
@@ -132,28 +134,26 @@ def _credits(docs: DataFrame, words: int, buckets: int) -> DataFrame:
             hit[at < len(shared)] = shared[at[at < len(shared)]] == codes[at < len(shared)]
             if hit.any():
                 out.append((block, np.bincount(np.frombuffer(rows, "<u4")[hit]).astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["block", "counts"])
-
-    def total(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = left.iloc[0]
-        credit = np.array(out["credit"], dtype=np.int64)
-        for raw in right["counts"]:
+        nothing = pd.Series([None] * len(out), dtype=object)
+        return pd.DataFrame({"block": pd.Series([b for b, _ in out], dtype="int64"), "ids": nothing, "sizes": nothing, "sigs": nothing, "credit": nothing, "counts": pd.Series([c for _, c in out], dtype=object)})
+
+    def total(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame["counts"].isna()
+        table = frame[own].iloc[0]
+        credit = np.array(table["credit"], dtype=np.int64)
+        for raw in frame["counts"][~own]:
             c = np.frombuffer(raw, "<u4")
             credit[: len(c)] += c
-        return pd.DataFrame({"doc_id": pd.array(out["ids"], dtype="Int64"), "n": out["sizes"], "sig": out["sigs"], "credit": credit})
+        return pd.DataFrame({"doc_id": pd.array(table["ids"], dtype="Int64"), "n": table["sizes"], "sig": table["sigs"], "credit": credit})
 
-    sent = common.staged(common.slim(docs, "doc_id", "text").mapInArrow(send, _SENT_DDL), "grams")
-    answers = sent.filter("bucket >= 0").groupBy("bucket").applyInPandas(answer, "block long, counts binary")
-    tables = sent.filter("bucket < 0")
-    out = tables.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total, "doc_id long, n long, sig string, credit long")
-    out = common.staged(out, "credits")
-    common.drop_staged(sent)
-    return out
+    sent = common.slim(docs, "doc_id", "text").mapInArrow(send, _SENT_DDL)
+    answers = sent.groupBy("bucket").applyInPandas(answer, "block long, ids array<long>, sizes array<long>, sigs array<string>, credit array<long>, counts binary")
+    return common.staged(answers.groupBy("block").applyInPandas(total, "doc_id long, n long, sig string, credit long"), "credits")
 
 
-_SENT_DDL = "bucket int, block long, once binary, row binary, several binary, ids array<long>, sizes array<long>, sigs array<string>, credit array<long>"
+_SENT_DDL = "bucket long, block long, once binary, row binary, several binary, ids array<long>, sizes array<long>, sigs array<string>, credit array<long>"
 _SENT_NAMES = ["bucket", "block", "once", "row", "several", "ids", "sizes", "sigs", "credit"]
-_SENT = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()))
+_SENT = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
