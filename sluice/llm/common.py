@@ -27,12 +27,18 @@ BLOCK_BYTES = 2 << 20
 BATCH_ROWS = "1000"
 
 
+#: So that a worker's large buffers go back to the system when they are freed, not when the worker ends.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ready(spark: SparkSession) -> None:
     """Lets Python workers import this package wherever the driver runs from, and keeps Arrow batches small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, BATCH_ROWS)
     env = spark.sparkContext.environment
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 

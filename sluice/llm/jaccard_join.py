@@ -27,7 +27,7 @@ from .components import connected_components
 
 WORDS, PERCENT = 5, 75
 #: n-grams that one task of an exchange holds, about; documents of a block of the product; columns multiplied at once.
-BUCKET_GRAMS, BLOCK_DOCS, COLUMNS = 2_000_000, 256, 8192
+BUCKET_GRAMS, BLOCK_DOCS, COLUMNS = 1_000_000, 256, 8192
 #: Candidate components beyond so many documents are thinned by leaders first, in so many rounds; there a document
 #: looks for leaders under so many of its keys, the most common ones.
 LARGE, ROUNDS, LEADER_KEYS = 1024, 3, 3
