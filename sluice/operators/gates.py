@@ -12,17 +12,21 @@ from .fold import ordered_fold
 ORDER = ("ts", "event_id")
 #: Parts that one campaign's matches are dealt over before its budget is cut.
 SALTS = 32
+#: Campaigns whose cutoffs are broadcast at most; more are joined by shuffle.
+BROADCAST_CUTOFFS = 20_000
 
 
-def user_limit(rows: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+def user_limit(rows: DataFrame, order: tuple[str, ...] = ORDER, kinds: set[bool] = frozenset((True, False))) -> DataFrame:
     """The rows of each campaign and user that its max_per_user lets pass: the first ones.
 
-    Campaigns without a limit go around the window.
+    Campaigns without a limit go around the window. kinds: whether campaigns with and without a limit can occur.
     """
-    limited = F.col("max_per_user") < UNLIMITED_ACTIONS
+    if True not in kinds:
+        return rows
+    limited = F.col("max_per_user") < UNLIMITED_ACTIONS if False in kinds else F.lit(True)
     w = W.Window.partitionBy("campaign_id", "user_id").orderBy(*order)
     ranked = rows.filter(limited).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col("max_per_user")).drop("_n")
-    return ranked.unionByName(rows.filter(~limited))
+    return ranked.unionByName(rows.filter(~limited)) if False in kinds else ranked
 
 
 def user_limit_in_window(rows: DataFrame) -> DataFrame:
@@ -62,17 +66,18 @@ def budget_cutoff(rows: DataFrame, matched: str = "matched", order: tuple[str, .
     return own.withColumn("_n", F.row_number().over(whole)).filter("_n = _left").select("campaign_id", F.struct(*order).alias("cutoff"))
 
 
-def budget_gate(rows: DataFrame, matched: str = "matched", order: tuple[str, ...] = ORDER, used: str | None = None) -> DataFrame:
+def budget_gate(rows: DataFrame, matched: str = "matched", order: tuple[str, ...] = ORDER, used: str | None = None, size: int | None = None) -> DataFrame:
     """rows with evaluated and triggered: the budget still has something before the row, and its rule matches.
 
     A budget above the high mark is never drawn down; one of nothing evaluates nothing. used names a column with what
-    earlier batches have spent.
+    earlier batches have spent. size: campaigns, if known; the cutoffs are a row a campaign at most, and up to
+    BROADCAST_CUTOFFS of them are broadcast, so that events needn't meet by campaign.
     """
     left = F.col("budget") - (F.coalesce(F.col(used), F.lit(0)) if used else 0)
     cut = budget_cutoff(rows, matched, order, used)
     has = ~drawn_down(F.col("budget")) | ((left > 0) & (F.col("cutoff").isNull() | (F.struct(*order) <= F.col("cutoff"))))
-    # a row a campaign; of few campaigns the engine broadcasts it by its measured size
-    return rows.join(cut, "campaign_id", "left").withColumn("evaluated", has).withColumn("triggered", F.col("evaluated") & F.col(matched)).drop("cutoff")
+    small = F.broadcast(cut) if size is not None and size <= BROADCAST_CUTOFFS else cut
+    return rows.join(small, "campaign_id", "left").withColumn("evaluated", has).withColumn("triggered", F.col("evaluated") & F.col(matched)).drop("cutoff")
 
 
 def consume(requests: DataFrame, budgets: DataFrame, order: tuple[str, ...] = ("seq",)) -> DataFrame:

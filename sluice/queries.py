@@ -256,7 +256,7 @@ def user_limit_window(spark, sf_dir):
 @query(f"""WITH {_EV}, {_C}, b AS (SELECT ev.*, c.*, coalesce(sum(CASE WHEN k > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY campaign_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM ev JOIN c ON event_type = trig)
 SELECT campaign_id, count(*) AS evaluated, count(*) FILTER (k > 50) AS triggered FROM b WHERE budget > 100000 OR used < budget GROUP BY campaign_id""")
 def budget(spark, sf_dir):
-    out = gates.budget_gate(_rows(spark, sf_dir).withColumn("matched", F.col("k") > 50)).filter("evaluated")
+    out = gates.budget_gate(_rows(spark, sf_dir).withColumn("matched", F.col("k") > 50), size=len(GATED)).filter("evaluated")
     return out.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("evaluated"), F.count_if("triggered").alias("triggered"))
 
 

@@ -41,6 +41,8 @@ def test_first_occurrences_limit_before_the_shuffle(spark):
 
 
 def test_one_campaign_with_most_events_is_cut_in_parts(spark):
-    rows = spark.range(5000).select(F.lit("c").alias("campaign_id"), F.lit(100).cast("long").alias("budget"), (F.col("id") % 3 > 0).alias("matched"), F.col("id").alias("ts"), F.col("id").alias("event_id"))
+    rows = spark.range(5000).select(F.when(F.col("id") < 0, "d").otherwise("c").alias("campaign_id"), F.lit(100).cast("long").alias("budget"), (F.col("id") % 3 > 0).alias("matched"), F.col("id").alias("ts"), F.col("id").alias("event_id"))
     assert gates.budget_cutoff(rows).first()["cutoff"]["ts"] == 149
     assert "_salt" in plan(gates.budget_cutoff(rows))
+    text = plan(gates.budget_gate(rows, size=1))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
