@@ -31,6 +31,9 @@ STATE_SETTINGS = {
 BROADCAST_DIGESTS = 400_000
 
 
+_ID, _SHA = "__dedup_id", "__dedup_sha256"
+
+
 def sha256_of(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
@@ -103,12 +106,12 @@ def _collided(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Colu
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that dedup() keeps, with all their columns."""
-    rows = common.staged(dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "dedup-kept")
-    found = docs.withColumn("_sha", sha256_of(F.coalesce(docs["text"], F.lit("")))).withColumn("_id", docs["doc_id"])
-    on = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._sha") == F.col("b._sha"))
-    found = found.alias("a").join(rows.alias("b"), on, "left_semi").drop("_id", "_sha")
-    ids = docs.select(docs["doc_id"], sha256_of(F.coalesce(docs["text"], F.lit(""))).alias("sha")).groupBy("doc_id", "sha").count().filter("count > 1")
-    return found if ids.isEmpty() else found.dropDuplicates(["doc_id", "text"])  # whole rows that repeat
+    rows = common.staged(dedup(docs).filter("kept").select(F.col("doc_id").alias(_ID), F.col("text_sha256").alias(_SHA)), "dedup-kept")
+    found = docs.withColumn(_SHA, sha256_of(F.coalesce(docs["text"], F.lit("")))).withColumn(_ID, docs["doc_id"])
+    on = found[_ID].eqNullSafe(rows[_ID]) & (found[_SHA] == rows[_SHA])
+    kept = found.join(rows, on, "left_semi")
+    repeated = found.groupBy(_ID, _SHA).count().filter("count > 1")
+    return (kept if repeated.isEmpty() else kept.dropDuplicates([_ID, _SHA])).drop(_ID, _SHA)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

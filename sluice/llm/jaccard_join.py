@@ -360,7 +360,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     gone = found.filter(F.col("group_id").isNotNull()).join(stay, ["doc_id", "class_id"], "left_anti").select(F.col("doc_id").alias("gone_id"))
     gone = common.staged(gone, "gone")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(small, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(small, docs["doc_id"] == small["gone_id"], "left_anti")
 
 
 def _keep_rows(docs: DataFrame, stay: DataFrame, words: int) -> DataFrame:
