@@ -43,12 +43,15 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+#: Folders made where the session names none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
         atexit.register(_forget, found.removeprefix("file://"))
     return found.rstrip("/")
 
