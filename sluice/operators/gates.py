@@ -16,19 +16,27 @@ SALTS = 32
 BROADCAST_CUTOFFS = 20_000
 
 
-def user_limit(rows: DataFrame, order: tuple[str, ...] = ORDER, kinds: set[bool] = frozenset((True, False))) -> DataFrame:
+def user_limit(rows: DataFrame, order: tuple[str, ...] = ORDER, kinds: set[bool] = frozenset((True, False)), most: int | None = None) -> DataFrame:
     """The rows of each campaign and user that its max_per_user lets pass: the first ones.
 
     Campaigns without a limit go around the window. kinds: whether campaigns with and without a limit can occur.
+    most: the largest limit, if known; each task then keeps that many rows of a key before the shuffle, so a user with
+    most of the events is no heavier than others.
     """
     if True not in kinds:
         return rows
     limited = F.col("max_per_user") < UNLIMITED_ACTIONS if False in kinds else F.lit(True)
     w = W.Window.partitionBy("campaign_id", "user_id").orderBy(*order)
-    ranked = rows.filter(limited).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col("max_per_user")).drop("_n")
+    ranked = _first(rows.filter(limited), w, most).filter(F.col("_n") <= F.col("max_per_user")).drop("_n")
     return ranked.unionByName(rows.filter(~limited)) if False in kinds else ranked
 
 
+def _first(rows: DataFrame, w: W.WindowSpec, most: int | None) -> DataFrame:
+    """rows with their number _n in the window; of known bound, a constant one, which is taken before the shuffle where it is small."""
+    ranked = rows.withColumn("_n", F.row_number().over(w))
+    return ranked if most is None else ranked.filter(F.col("_n") <= F.lit(most))
+
+
 def user_limit_in_window(rows: DataFrame) -> DataFrame:
     """rows with recent: how many of the campaign and user lie in the window before each, itself included (an extension)."""
     w = W.Window.partitionBy("campaign_id", "user_id").orderBy(F.unix_millis("ts"))
@@ -51,7 +59,7 @@ def drawn_down(budget: Column) -> Column:
     return budget <= HIGH_BUDGET
 
 
-def budget_cutoff(rows: DataFrame, matched: str = "matched", order: tuple[str, ...] = ORDER, used: str | None = None) -> DataFrame:
+def budget_cutoff(rows: DataFrame, matched: str = "matched", order: tuple[str, ...] = ORDER, used: str | None = None, most: int | None = None) -> DataFrame:
     """campaign_id, cutoff: the place in order of the match that spends a campaign's last unit; no row if none does.
 
     Each of SALTS parts of a campaign keeps its first `budget` matches before they meet, so even a campaign with most
@@ -61,20 +69,21 @@ def budget_cutoff(rows: DataFrame, matched: str = "matched", order: tuple[str, .
     own = rows.filter(F.col(matched) & drawn_down(F.col("budget"))).select("campaign_id", left.alias("_left"), *order).filter("_left > 0")
     own = own.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
     part = W.Window.partitionBy("campaign_id", "_salt").orderBy(*order)
-    own = own.withColumn("_n", F.row_number().over(part)).filter("_n <= _left")
+    own = _first(own, part, most).filter("_n <= _left")
     whole = W.Window.partitionBy("campaign_id").orderBy(*order)
-    return own.withColumn("_n", F.row_number().over(whole)).filter("_n = _left").select("campaign_id", F.struct(*order).alias("cutoff"))
+    return _first(own, whole, most).filter("_n = _left").select("campaign_id", F.struct(*order).alias("cutoff"))
 
 
-def budget_gate(rows: DataFrame, matched: str = "matched", order: tuple[str, ...] = ORDER, used: str | None = None, size: int | None = None) -> DataFrame:
+def budget_gate(rows: DataFrame, matched: str = "matched", order: tuple[str, ...] = ORDER, used: str | None = None, size: int | None = None, most: int | None = None) -> DataFrame:
     """rows with evaluated and triggered: the budget still has something before the row, and its rule matches.
 
     A budget above the high mark is never drawn down; one of nothing evaluates nothing. used names a column with what
     earlier batches have spent. size: campaigns, if known; the cutoffs are a row a campaign at most, and up to
-    BROADCAST_CUTOFFS of them are broadcast, so that events needn't meet by campaign.
+    BROADCAST_CUTOFFS of them are broadcast, so that events needn't meet by campaign. most: the largest budget that is
+    drawn down, if known.
     """
     left = F.col("budget") - (F.coalesce(F.col(used), F.lit(0)) if used else 0)
-    cut = budget_cutoff(rows, matched, order, used)
+    cut = budget_cutoff(rows, matched, order, used, most)
     has = ~drawn_down(F.col("budget")) | ((left > 0) & (F.col("cutoff").isNull() | (F.struct(*order) <= F.col("cutoff"))))
     small = F.broadcast(cut) if size is not None and size <= BROADCAST_CUTOFFS else cut
     return rows.join(small, "campaign_id", "left").withColumn("evaluated", has).withColumn("triggered", F.col("evaluated") & F.col(matched)).drop("cutoff")

@@ -43,13 +43,13 @@ def evaluate(new: DataFrame, own: Sequence[Campaign], fields: Fields | None = No
 
 def gate(rows: DataFrame, own: Sequence[Campaign], fields: Fields | None = None, settings: Settings = Settings(), order: tuple[str, ...] = gates.ORDER, used: str | None = None) -> DataFrame:
     rows = rows.filter("budget > 0")
-    rows = gates.user_limit(rows, order, {c.max_per_user < UNLIMITED_ACTIONS for c in own})
+    rows = gates.user_limit(rows, order, {c.max_per_user < UNLIMITED_ACTIONS for c in own}, max((c.max_per_user for c in own if c.max_per_user < UNLIMITED_ACTIONS), default=None))
     matched, _, error = compile_campaign_rules({c.id: c.rule for c in own}, fields or event_fields(), settings.on_error)
     rows = rows.withColumn("matched", matched).withColumn("rule_error", error)
     if all(c.budget > HIGH_BUDGET for c in own):  # nothing is drawn down
         rows = rows.withColumn("evaluated", F.lit(True)).withColumn("triggered", F.col("matched"))
     else:
-        rows = gates.budget_gate(rows, order=order, used=used, size=len(own)).filter("evaluated")
+        rows = gates.budget_gate(rows, order=order, used=used, size=len(own), most=max(c.budget for c in own if c.budget <= HIGH_BUDGET)).filter("evaluated")
     return rows.withColumn("variant", variant_by_campaign(own, F.col("user_id").cast("string")))
 
 

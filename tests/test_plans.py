@@ -46,3 +46,11 @@ def test_one_campaign_with_most_events_is_cut_in_parts(spark):
     assert "_salt" in plan(gates.budget_cutoff(rows))
     text = plan(gates.budget_gate(rows, size=1))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    few = gates.budget_cutoff(rows, most=100)
+    assert few.first()["cutoff"]["ts"] == 149 and "WindowGroupLimit" in plan(few)
+
+
+def test_user_limits_are_taken_before_the_shuffle(spark):
+    rows = spark.range(100).select(F.when(F.col("id") < 0, "d").otherwise("c").alias("campaign_id"), (F.col("id") % 2).alias("user_id"), F.lit(3).alias("max_per_user"), F.col("id").alias("ts"), F.col("id").alias("event_id"))
+    out = gates.user_limit(rows, kinds={True}, most=3)
+    assert out.count() == 6 and plan(out).count("WindowGroupLimit") == 2
