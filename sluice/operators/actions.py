@@ -53,6 +53,32 @@ def rate_limited(requests: DataFrame, rates: Mapping[str, Rate], time: str = "cr
     return out.select(*requests.columns, (F.col("_t")[0] > 0).alias("allowed"), F.col("_t")[1].alias("tokens_left"))
 
 
+def acquire(requests: DataFrame, rates: Mapping[str, Rate], time: str = "created_at", default: Rate = Rate()) -> DataFrame:
+    """requests with allowed and tries, as a dispatcher takes tokens: TOKEN_TRIES tries, TOKEN_WAIT_MS apart, each in its turn among all tries of the service."""
+    wait = TOKEN_WAIT_MS * 1000
+
+    def step(state, row):
+        service, us, request, attempt = row
+        rate = rates.get(service, default)
+        held, last, done = state if state is not None else (float(rate.capacity), us, {})
+        if attempt == 0:  # what was served too long ago to try again is forgotten
+            done = {r: t for r, t in done.items() if t + wait * TOKEN_TRIES >= us}
+        if request in done:
+            return (held, last, done), False
+        if us > last:
+            held, last = min(rate.capacity, held + (us - last) / 1e6 * rate.refill_per_second), us
+        if held < 1:
+            return (held, last, done), False
+        done[request] = us
+        return (held - 1, last, done), True
+
+    tries = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_TRIES - 1))).alias("_try")
+    rows = requests.select("service", "request_id", F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), tries).withColumn("_us", F.col("_us") + F.col("_try") * wait)
+    out = ordered_fold(rows, ["service"], ["_us", "_try", "request_id"], lambda: None, step, ["service", "_us", "request_id", "_try"], "_got boolean")
+    won = out.groupBy("request_id").agg(F.min(F.when(F.col("_got"), F.col("_try"))).alias("_won"))
+    return requests.join(won.select("request_id", F.col("_won").isNotNull().alias("allowed"), F.coalesce(F.col("_won") + 1, F.lit(TOKEN_TRIES)).alias("tries")), "request_id")
+
+
 def backoff_ms(attempt: Column, retry: Retry, seed: int | None = None) -> Column:
     """The wait after an attempt, numbered from 0."""
     jitter = F.lit(1.0) + (F.lit(retry.jitter) * F.rand(seed) if retry.jitter and seed is not None else F.lit(0.0))

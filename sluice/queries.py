@@ -343,6 +343,14 @@ def token_bucket(spark, sf_dir):
     return actions.rate_limited(rows, {"click": Rate(5, 0.001)}).groupBy("service").agg(F.count_if("allowed").alias("allowed"))
 
 
+@query("""SELECT 'a' AS service, count(*) FILTER (n <= 20) AS first_try, count(*) FILTER (n > 20) AS refused FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 2 = 0)""")
+def token_tries(spark, sf_dir):
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    rows = from_table(spark, sf_dir).filter("event_id % 2 = 0").select(F.lit("a").alias("service"), F.col("event_id").alias("request_id"), at.alias("created_at"))
+    out = actions.acquire(rows, {"a": Rate(20, 0.5)})
+    return out.groupBy("service").agg(F.count_if(F.col("allowed") & (F.col("tries") == 1)).alias("first_try"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
 @query("""SELECT event_id, (event_id % 5) <= 3 AS success, least(event_id % 5, 3)::INT AS retry_count, CASE least(event_id % 5, 3) WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN 300 ELSE 700 END::BIGINT AS waited_ms FROM events""")
 def retry_schedule(spark, sf_dir):
     rows = from_table(spark, sf_dir).select(F.col("event_id").alias("request_id"), (F.col("event_id") % 5).alias("fails"))

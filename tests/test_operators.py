@@ -163,6 +163,13 @@ def test_token_buckets(spark):
             Rate(*bad)
 
 
+def test_tries_for_tokens_interleave(spark):
+    rows = spark.createDataFrame([("a", "s", T0), ("b", "s", T0), ("c", "s", T0 + timedelta(milliseconds=40)), ("d", "slow", T0), ("e", "slow", T0)], "request_id string, service string, created_at timestamp")
+    got = {r["request_id"]: (r["allowed"], r["tries"]) for r in actions.acquire(rows, {"s": Rate(1, 20.0), "slow": Rate(1, 1.0)}).collect()}
+    # one token each 50 ms: b waits for the first, c (at 40, 90, 140) for the second
+    assert got == {"a": (True, 1), "b": (True, 2), "c": (True, 3), "d": (True, 1), "e": (False, 3)}
+
+
 def test_outcomes_and_retries(spark):
     rows = spark.createDataFrame([("a", "SEND_MESSAGE", "s", True, 0, True), ("b", None, "s", True, 0, True), ("c", "GRANT_REWARD", " ", True, 0, True), ("d", "GRANT_REWARD", "s", True, 5, True), ("e", "GRANT_REWARD", "s", False, 0, True), ("f", "GRANT_REWARD", "s", True, 0, False)], "request_id string, action_type string, service string, allowed boolean, delay_ms long, success boolean")
     out = actions.outcomes(rows)
