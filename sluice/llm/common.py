@@ -106,6 +106,20 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def blocks_of(sizes: list[int], most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes each; a larger row stands alone."""
     start = held = 0

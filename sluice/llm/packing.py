@@ -28,7 +28,7 @@ GROUP_PIECES, LOOSE_BELOW = 16_000, 0.98
 #: Token runs that a worker's table holds at most; a full one starts anew. Longer ones are not kept.
 TABLE_RUNS, KEPT_CHARS = 300_000, 64
 #: Text bytes that are cut at once; each distinct run in them is looked up once.
-CUT_BYTES = 4 << 20
+CUT_BYTES = 6 << 20
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write each byte: printable Latin-1 as itself, others from U+0100 on in turn."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(tokenizer)
-        for batch in batches:
+        for batch in common.gathered(batches, CUT_BYTES):
             for a, b in common.blocks(batch, most=CUT_BYTES):
                 part = batch.slice(a, b - a)
                 out: list[tuple] = []
