@@ -64,10 +64,20 @@ def variant_by_campaign(own: Sequence[Campaign], user: Column) -> Column:
     return out
 
 
-def run(events: DataFrame, own: Sequence[Campaign], fields: Fields | None = None, settings: Settings = Settings(), store: DataFrame | None = None, order: tuple[str, ...] = gates.ORDER) -> Run:
-    """Events (as model.EVENTS, payload a variant) through everything. Duplicates never expire within a run."""
-    marked = dedup.with_status(events, store)
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run(events: DataFrame, own: Sequence[Campaign], fields: Fields | None = None, settings: Settings = Settings(), store: DataFrame | None = None, order: tuple[str, ...] = gates.ORDER, stage: str | None = None) -> Run:
+    """Events (as model.EVENTS, payload a variant) through everything. Duplicates never expire within a run.
+
+    stage: a shared folder in which marked events and evaluated rows are written once, where several results are read
+    from one run; each result computes them anew else.
+    """
+    keep = (lambda df, name: df) if stage is None else lambda df, name: _written(df, f"{stage}/{name}")
+    marked = keep(dedup.with_status(events, store), "events")
     new = marked.filter(F.col("dedup_status") == dedup.NEW)
-    evaluated = evaluate(new, own, fields, settings, order)
+    evaluated = keep(evaluate(new, own, fields, settings, order), "evaluated")
     requests = actions.fan_out(evaluated.filter("triggered"))
     return Run(marked, evaluated, requests, new)

@@ -434,7 +434,7 @@ def admission(spark, sf_dir):
 SELECT (SELECT count(*) + count(*) FILTER (event_id % 3 = 0) FROM events) AS events_received, (SELECT count(*) FROM events) AS events_processed, (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS duplicates_filtered,
  count(*) AS rules_evaluated, count(*) FILTER (triggered) AS rules_matched, coalesce(sum(n) FILTER (triggered), 0)::BIGINT AS actions_triggered, 0 AS actions_failed FROM e LEFT JOIN n USING (campaign_id)""")
 def pipeline_metrics(spark, sf_dir):
-    return pipeline.run(_doubled(from_table(spark, sf_dir)), GATED, table_fields()).metrics()
+    return pipeline.run(_doubled(from_table(spark, sf_dir)), GATED, table_fields(), stage=_shared(spark, "run")).metrics()
 
 
 @query(f"""WITH {_EV}, o AS (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1), x AS (SELECT ev.*, c_acctbal, spent FROM ev LEFT JOIN customer ON user_id = c_custkey LEFT JOIN o ON user_id = o_custkey)

@@ -58,6 +58,15 @@ def test_only_triggered_campaigns_are_evaluated(spark):
     assert len({x["request_id"] for x in r.requests.collect()}) == 2
 
 
+def test_written_stages_change_nothing(spark, tmp_path):
+    rows = [ride(f"e{i}", user=f"u{i % 2}", s=i) for i in range(9)] + [ride("e1", s=20)]
+    own = [Campaign("c", "RIDE", RIDE, budget=4, actions=SEND), Campaign("d", "RIDE", RIDE, max_per_user=2)]
+    ev = events(spark, rows)
+    plain, staged = pipeline.run(ev, own), pipeline.run(ev, own, stage=str(tmp_path))
+    assert plain.metrics().first() == staged.metrics().first()
+    assert sorted(r["request_id"] for r in plain.requests.collect()) == sorted(r["request_id"] for r in staged.requests.collect())
+
+
 def simulate(rows, own):
     """The pipeline one event at a time."""
     left, uses, out = {c["id"]: c["budget"] for c in own}, {}, {}
