@@ -77,24 +77,24 @@ class Words:
         self.runs.update((r, raw[a:b]) for r, a, b in zip(new, cuts, cuts[1:], strict=False))
 
     def _plain(self, texts: pa.Array) -> list[bytes]:
+        """Cuts the distinct words into runs, looks up the distinct runs, and joins ids back to words, then to texts."""
         pc = pa.compute
-        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), self._RUNS, "\\1 ")
-        lists = pc.utf8_split_whitespace(spaced)
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        words = pc.utf8_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        cut = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(coded.dictionary), self._RUNS, "\\1 "))
+        runs = cut.flatten().dictionary_encode()
+        distinct = runs.dictionary.to_pylist()
         self._fill([r for r in distinct if r])
         own = [self.runs[r] if r else b"" for r in distinct]
         for r in distinct:
             if len(r) > KEPT_CHARS:
                 del self.runs[r]
-        size = np.array([len(x) // 4 for x in own], dtype=np.int64)
-        ids, first = np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size
-        at = coded.indices.to_numpy()
-        n = size[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        cuts = (ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4).tolist()
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        of_words, ends = _joined(np.frombuffer(b"".join(own), dtype="<u4"), np.cumsum(size) - size, size, runs.indices.to_numpy())
+        bounds = ends[_offsets(cut)]
+        flat, ends = _joined(of_words, bounds[:-1], np.diff(bounds), coded.indices.to_numpy())
+        raw, cuts = flat.tobytes(), (ends[_offsets(words)] * 4).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _any(self, text: str) -> bytes:
         """By white-space separated words, so that a very long text stays cheap."""
@@ -112,6 +112,18 @@ class Words:
         return [self._any(t.as_py()) if o else next(found) for t, o in zip(texts, other.to_pylist(), strict=True)]
 
 
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    out = lists.offsets.to_numpy()
+    return out - out[0]
+
+
+def _joined(ids: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ids[first : first + size] of the items `at`, one after another, and where each ends."""
+    n = size[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 _TABLES: dict = {}
 
 
