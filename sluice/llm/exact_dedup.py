@@ -99,8 +99,9 @@ def _collided(docs: DataFrame, state: DataFrame, digest: Callable[[Column], Colu
     rows = docs.select(docs["doc_id"], text.alias("text"), digest(text).alias("digest"))
     seen = rows.join(F.broadcast(hits) if n <= BROADCAST_DIGESTS else hits, "digest")
     stays = seen.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("kept_text"))
-    differ = seen.select("digest", "text").join(stays, "digest").filter("text <> kept_text").select("digest").distinct()
-    differ = common.staged(differ, "dedup-differ")
+    stays = common.staged(stays, "dedup-stays")
+    # two written sides and nothing after the join that needs a digest's rows together: a hot digest's part can be split
+    differ = common.staged(seen.select("digest", "text").join(stays, "digest").filter("text <> kept_text").select("digest"), "dedup-differ").distinct()
     return None if differ.isEmpty() else differ
 
 
