@@ -1,13 +1,41 @@
-"""Connected components of a graph held as a table of edges, by large-star and small-star rounds."""
+"""Connected components of a graph held as a table of edges: large-star and small-star rounds, or one task where the edges are few."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+#: Counted edges that one task joins at most (some 100 MB); more go through rounds over all tasks.
+ONE_TASK_EDGES = 300_000
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, component of all edges u, v."""
+    above: dict = {}
+
+    def top(x):
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
+
+    for frame in batches:
+        for u, v in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+            p, q = top(u), top(v)
+            if p != q:
+                above[max(p, q)] = min(p, q)
+    nodes = list(above)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        yield pd.DataFrame({"node": part, "component": [top(x) for x in part]})
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: each node of an edge with the smallest node that it reaches.
 
@@ -18,6 +46,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     loops = e.filter("u = v").select("u", "v")
     e = common.staged(e.filter("u <> v").distinct(), "edges")
+    if e.count() <= ONE_TASK_EDGES:
+        kind = e.schema["u"].dataType.simpleString()
+        found = common.staged(e.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}"), "components")
+        common.drop_staged(e)
+        return _with_loops(found, loops)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,4 +68,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         seen = tuple(mark)
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).unionByName(loops.select(F.col("u").alias("node"), F.col("v").alias("component")).join(found, "node", "left_anti")).distinct()
+    return _with_loops(found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), loops)
+
+
+def _with_loops(found: DataFrame, loops: DataFrame) -> DataFrame:
+    """Adds nodes that only have edges to themselves."""
+    alone = loops.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
+    return found.unionByName(alone.join(found.select("node"), "node", "left_anti"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import common, exact_dedup, fingerprints, jaccard_join, license_scan, packing, pieces, quality_net, sharding, toxicity, url_filter
+from sluice.llm import common, components, exact_dedup, fingerprints, jaccard_join, license_scan, packing, pieces, quality_net, sharding, toxicity, url_filter
 from sluice.llm.components import connected_components
 
 from .edges import EDGES, documents, sentences, words
@@ -159,7 +159,9 @@ def test_multiply_by_column_ranges():
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [300_000, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", most)
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 60)] + [(1, 1), (2, None), (3, 4), (4, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in (7, *range(8, 60))} | {1: 1, 3: 3, 4: 3}
