@@ -170,13 +170,25 @@ def dedup_first(spark, sf_dir):
     return dedup.first_occurrences(_doubled(from_table(spark, sf_dir))).select("event_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+def _within_half_an_hour(ev):
+    """Each event at six offsets, in minutes, and whether a window of 30 accepts it."""
+    ev = ev.select("event_id", "event_type", "ts", F.explode(F.array(*map(F.lit, (0, 10, 25, 29, 31, 60)))).alias("offset_min"))
+    ev = ev.withColumn("ts", F.timestamp_add("MINUTE", F.col("offset_min"), F.col("ts")))
+    return dedup.within_ttl(ev, 30 * 60_000).select("event_id", "offset_min", "accepted")
+
+
 @query("""WITH o(m) AS (VALUES (0), (10), (25), (29), (31), (60)), t AS (SELECT event_id, event_type, m FROM events, o WHERE event_id % 10 = 0),
 l AS (SELECT event_id, event_type, list_reduce(list([m] ORDER BY m), lambda a, b: CASE WHEN b[1] <= a[-1] + 30 THEN a ELSE list_concat(a, b) END) AS ok FROM t GROUP BY ALL)
 SELECT t.event_id, t.m AS offset_min, list_contains(ok, t.m) AS accepted FROM t JOIN l USING (event_id)""")
 def dedup_ttl(spark, sf_dir):
-    ev = from_table(spark, sf_dir).filter("event_id % 10 = 0").select("event_id", "event_type", "ts", F.explode(F.array(*map(F.lit, (0, 10, 25, 29, 31, 60)))).alias("offset_min"))
-    ev = ev.withColumn("ts", F.timestamp_add("MINUTE", F.col("offset_min"), F.col("ts")))
-    return dedup.within_ttl(ev, 30 * 60_000).select("event_id", "offset_min", "accepted")
+    return _within_half_an_hour(from_table(spark, sf_dir).filter("event_id % 10 = 0"))
+
+
+@query("""WITH o(m) AS (VALUES (0), (10), (25), (29), (31), (60)), t AS (SELECT event_id, event_type, m FROM events, o),
+l AS (SELECT event_id, event_type, list_reduce(list([m] ORDER BY m), lambda a, b: CASE WHEN b[1] <= a[-1] + 30 THEN a ELSE list_concat(a, b) END) AS ok FROM t GROUP BY ALL)
+SELECT t.event_id, t.m AS offset_min, list_contains(ok, t.m) AS accepted FROM t JOIN l USING (event_id)""")
+def dedup_ttl_all(spark, sf_dir):
+    return _within_half_an_hour(from_table(spark, sf_dir))
 
 
 @query(f"""{_DOUBLED}, s AS (SELECT *, row_number() OVER (PARTITION BY event_id, event_type ORDER BY ts) AS n FROM d)

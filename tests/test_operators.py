@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sluice import queries
 from sluice.functions import hashing
 from sluice.functions.fields import Fields
 from sluice.model import Action, And, Campaign, Leaf, Op, Rate, Retry
@@ -110,6 +111,24 @@ def test_ttl_window_is_set_at_acceptance(spark):
     assert sorted((r["event_type"], r["s"] - base) for r in got) == [("OTHER", 5), ("RIDE", 0), ("RIDE", 31)]
 
 
+def table_of_events(spark, path, kinds):
+    """A folder with an events table, one event of each kind in turn, a second apart."""
+    rows = [(i, T0 + timedelta(seconds=i), i, t, 1.0, '{"k": 1}') for i, t in enumerate(kinds)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_ttl_query_reads_every_event(spark, tmp_path):
+    at = table_of_events(spark, tmp_path / "sf", ["click"] * 23)
+    want, until = set(), None
+    for m in (0, 10, 25, 29, 31, 60):
+        ok = until is None or m > until
+        until = m + 30 if ok else until
+        want |= {(i, m, ok) for i in range(23)}
+    got = queries.QUERIES["q_dedup_ttl_all"](spark, at).collect()
+    assert len(got) == 23 * 6 and {tuple(r) for r in got} == want
+
+
 def test_status_store_and_lru(spark, tmp_path):
     ev = events(spark, [ride("a"), ride("a", s=1), ride("b", s=2), ride("c", s=3)])
     store = SeenKeys(spark, str(tmp_path))
