@@ -344,6 +344,11 @@ def dispatch_counts(spark, sf_dir):
     return actions.dispatch_counts(actions.outcomes(rows))
 
 
+def _allowed_by_type(ev):
+    rows = ev.select(F.col("event_type").alias("service"), F.col("event_id").alias("request_id"), F.col("ts").alias("created_at"))
+    return actions.rate_limited(rows, {"click": Rate(5, 0.001)}).groupBy("service").agg(F.count_if("allowed").alias("allowed"))
+
+
 @query("""WITH e AS (SELECT event_type, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 5 ELSE 100 END AS cap, CASE WHEN event_type = 'click' THEN 0.001 ELSE 10.0 END AS rate FROM events WHERE event_type IN ('click', 'view')),
 l AS (SELECT event_type, cap, rate, list({'tok': cap::DOUBLE, 'us': us, 'ok': 1} ORDER BY us, event_id) AS l FROM e GROUP BY ALL),
 p AS (SELECT *, {'tok': cap - 1.0, 'us': l[1].us, 'ok': 1} AS first FROM l),
@@ -351,18 +356,36 @@ f AS (SELECT event_type, list_reduce(list_prepend(first, l[2:]), lambda a, x: CA
   THEN {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate) - 1, 'us': greatest(a.us, x.us), 'ok': a.ok + 1} ELSE {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate), 'us': greatest(a.us, x.us), 'ok': a.ok} END) AS s FROM p)
 SELECT event_type AS service, s.ok::BIGINT AS allowed FROM f""")
 def token_bucket(spark, sf_dir):
-    rows = from_table(spark, sf_dir).filter("event_type IN ('click', 'view')").select(F.col("event_type").alias("service"), F.col("event_id").alias("request_id"), F.col("ts").alias("created_at"))
-    return actions.rate_limited(rows, {"click": Rate(5, 0.001)}).groupBy("service").agg(F.count_if("allowed").alias("allowed"))
+    return _allowed_by_type(from_table(spark, sf_dir).filter("event_type IN ('click', 'view')"))
 
 
-@query("""SELECT 'a' AS service, count(*) FILTER (n <= 20) AS first_try, count(*) FILTER (n > 20) AS refused FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 2 = 0)""")
-def token_tries(spark, sf_dir):
+@query("""WITH e AS (SELECT event_type, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 5 ELSE 100 END AS cap, CASE WHEN event_type = 'click' THEN 0.001 ELSE 10.0 END AS rate FROM events),
+l AS (SELECT event_type, cap, rate, list({'tok': cap::DOUBLE, 'us': us, 'ok': 1} ORDER BY us, event_id) AS l FROM e GROUP BY ALL),
+p AS (SELECT *, {'tok': cap - 1.0, 'us': l[1].us, 'ok': 1} AS first FROM l),
+f AS (SELECT event_type, list_reduce(list_prepend(first, l[2:]), lambda a, x: CASE WHEN least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate) >= 1
+  THEN {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate) - 1, 'us': greatest(a.us, x.us), 'ok': a.ok + 1} ELSE {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate), 'us': greatest(a.us, x.us), 'ok': a.ok} END) AS s FROM p)
+SELECT event_type AS service, s.ok::BIGINT AS allowed FROM f""")
+def token_bucket_all(spark, sf_dir):
+    return _allowed_by_type(from_table(spark, sf_dir))
+
+
+def _tried_at_once(ev):
     at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
-    rows = from_table(spark, sf_dir).filter("event_id % 2 = 0").select(F.lit("a").alias("service"), F.col("event_id").alias("request_id"), at.alias("created_at"))
+    rows = ev.select(F.lit("a").alias("service"), F.col("event_id").alias("request_id"), at.alias("created_at"))
     out = actions.acquire(rows, {"a": Rate(20, 0.5)})
     return out.groupBy("service").agg(F.count_if(F.col("allowed") & (F.col("tries") == 1)).alias("first_try"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
+@query("""SELECT 'a' AS service, count(*) FILTER (n <= 20) AS first_try, count(*) FILTER (n > 20) AS refused FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 2 = 0)""")
+def token_tries(spark, sf_dir):
+    return _tried_at_once(from_table(spark, sf_dir).filter("event_id % 2 = 0"))
+
+
+@query("""SELECT 'a' AS service, count(*) FILTER (n <= 20) AS first_try, count(*) FILTER (n > 20) AS refused FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events)""")
+def token_tries_all(spark, sf_dir):
+    return _tried_at_once(from_table(spark, sf_dir))
+
+
 @query("""SELECT event_id, (event_id % 5) <= 3 AS success, least(event_id % 5, 3)::INT AS retry_count, CASE least(event_id % 5, 3) WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN 300 ELSE 700 END::BIGINT AS waited_ms FROM events""")
 def retry_schedule(spark, sf_dir):
     rows = from_table(spark, sf_dir).select(F.col("event_id").alias("request_id"), (F.col("event_id") % 5).alias("fails"))

@@ -198,6 +198,15 @@ def test_tries_for_tokens_interleave(spark):
     assert got == {"a": (True, 1), "b": (True, 2), "c": (True, 3), "d": (True, 1), "e": (False, 3)}
 
 
+def test_token_queries_read_every_event(spark, tmp_path):
+    kinds = ("click", "view", "purchase", "signup", "error")
+    at = table_of_events(spark, tmp_path / "sf", kinds * 9)
+    got = {r["service"]: r["allowed"] for r in queries.QUERIES["q_token_bucket_all"](spark, at).collect()}
+    assert got == {"click": 5} | dict.fromkeys(kinds[1:], 9)
+    # all 45 at one time: 20 tokens, and less than one more by the last try
+    assert [tuple(r) for r in queries.QUERIES["q_token_tries_all"](spark, at).collect()] == [("a", 20, 25)]
+
+
 def test_outcomes_and_retries(spark):
     rows = spark.createDataFrame([("a", "SEND_MESSAGE", "s", True, 0, True), ("b", None, "s", True, 0, True), ("c", "GRANT_REWARD", " ", True, 0, True), ("d", "GRANT_REWARD", "s", True, 5, True), ("e", "GRANT_REWARD", "s", False, 0, True), ("f", "GRANT_REWARD", "s", True, 0, False)], "request_id string, action_type string, service string, allowed boolean, delay_ms long, success boolean")
     out = actions.outcomes(rows)
