@@ -9,9 +9,11 @@ until bins run empty. Bins left underfull give their pieces back for a second ro
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,60 +184,140 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, donors: int = 64) -> list[list[int]]:
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """A lower bound of the bins (Martello and Toth's): no piece of k or more fits beside one above capacity - k."""
+    n = np.bincount(np.asarray(sizes, dtype=np.int64), minlength=capacity + 1)
+    count, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half, k = capacity // 2, np.arange(1, capacity // 2 + 1)
+    # above half a capacity each has a bin of its own; what is left in those up to capacity - k may hold pieces of k to a half
+    open_n, open_sum = count[capacity - k] - count[half], total[capacity - k] - total[half]
+    over = total[half] - total[k - 1] - (open_n * capacity - open_sum)
+    most = np.max(np.maximum(0, -(-over // capacity)), initial=0)
+    return int(max(count[-1] - count[half] + most, -(-total[-1] // capacity)))
+
+
+class _Takes:
+    """What each bin can give back for a step: the distinct sizes of a piece or two of it, in flat arrays.
+
+    A row's key is the size of a piece, or that of two and capacity + 1. A bin that changes writes its rows anew at the end; its old rows then belong to no bin.
+    """
+
+    def __init__(self, n: int, capacity: int):
+        self.above = capacity + 1
+        self.span: list[tuple[int, int]] = [(0, 0)] * n
+        self.none, self.used = n, 0
+        self.key, self.bin = np.zeros(1024, dtype=np.int64), np.full(1024, n, dtype=np.int64)
+
+    def put(self, b: int, own: list[int]) -> None:
+        first, last = self.span[b]
+        self.bin[first:last] = self.none
+        one, two = _sums(own)
+        n = len(one) + len(two)
+        if self.used + n > len(self.key):
+            self._make_room(n)
+        at = self.used
+        self.key[at : at + len(one)], self.key[at + len(one) : at + n] = one, [s + self.above for s in two]
+        self.bin[at : at + n] = b
+        self.span[b], self.used = (at, at + n), at + n
+
+    def _make_room(self, n: int) -> None:
+        live = np.flatnonzero(self.bin[: self.used] != self.none)
+        live = live[np.argsort(self.bin[live], kind="stable")]
+        key, bins, most = self.key[live], self.bin[live], 2 * (len(live) + n)
+        self.key, self.bin, self.used = np.zeros(most, dtype=np.int64), np.full(most, self.none, dtype=np.int64), len(live)
+        self.key[: len(live)], self.bin[: len(live)] = key, bins
+        held = np.bincount(bins, minlength=self.none)
+        ends = np.cumsum(held)
+        self.span = list(zip((ends - held).tolist(), ends.tolist(), strict=True))
+
+
+def _sums(own: list[int]) -> tuple[list[int], list[int]]:
+    """The distinct sizes of one piece and of two; a bin has few distinct sizes, whatever it holds."""
+    n = Counter(own)
+    return sorted(n), sorted({*map(sum, itertools.combinations(n, 2)), *(2 * s for s, k in n.items() if k > 1)})
+
+
+def _above(sums: list[int], capacity: int) -> np.ndarray:
+    """For each size from 0 to the capacity the smallest of the sums above it, or a size that fits nowhere."""
+    return np.append(sums, 4 * capacity)[np.searchsorted(sums, np.arange(capacity + 1), side="right")]
+
+
+def improve(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Local search between underfull bins; never opens a bin, and drops those that run empty.
 
-    The `donors` emptiest bins give; a step is taken only if it raises the sum of squared fills.
+    Every underfull bin gives, the emptiest first, over and over until no bin has a step left or the number of bins is
+    the lower bound. A step is taken only if it raises the sum of squared fills.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = len([b for b in bins if b])
-    for d in sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])[:donors]:
-        if alive <= least:
-            break
-        while bins[d] and (step := _step(d, bins, fill, sizes, capacity)):
-            b, give, take = step
-            gain = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
-            bins[d] = [i for i in bins[d] if i not in give] + list(take)
-            bins[b] = [i for i in bins[b] if i not in take] + list(give)
-            fill[d] -= gain
-            fill[b] += gain
-        alive -= not bins[d]
+    bins = [list(b) for b in bins if b]
+    least = least_bins([sizes[i] for b in bins for i in b], capacity)
+    alive = len(bins)
+    if alive <= least:
+        return bins
+    fill = np.array([sum(sizes[i] for i in b) for b in bins], dtype=np.int64)
+    takes = _Takes(len(bins), capacity)
+    for b in np.flatnonzero(fill < capacity).tolist():
+        takes.put(b, [sizes[i] for i in bins[b]])
+    stale, moved = False, True
+    while moved and alive > least:
+        moved = False
+        for d in np.argsort(fill, kind="stable").tolist():
+            if alive <= least:
+                break
+            if fill[d] >= capacity:
+                continue
+            while bins[d] and (step := _step(d, bins, fill, sizes, capacity, takes)):
+                b, give, take = step
+                gain = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
+                bins[d] = [i for i in bins[d] if i not in give] + list(take)
+                bins[b] = [i for i in bins[b] if i not in take] + list(give)
+                fill[d] -= gain
+                fill[b] += gain
+                takes.put(b, [sizes[i] for i in bins[b]] if fill[b] < capacity else [])
+                moved = stale = True
+            if stale:
+                takes.put(d, [sizes[i] for i in bins[d]])
+                stale = False
+                if not bins[d]:
+                    fill[d] = capacity  # empty: neither gives nor takes
+                    alive -= 1
     return [b for b in bins if b]
 
 
-def _step(d: int, bins: list[list[int]], fill: list[int], sizes: list[int], capacity: int) -> tuple | None:
-    """The first of move, one-for-one, two-for-one, one-for-two that raises the sum of squares: (bin, given, taken)."""
-    own = sorted(bins[d], key=lambda i: -sizes[i])
-    others = [b for b in range(len(bins)) if b != d and bins[b] and fill[b] < capacity and fill[b] >= fill[d]]
-    others.sort(key=lambda b: -fill[b])
-    for b in others:
-        room = capacity - fill[b]
-        for i in own:
-            if sizes[i] <= room:
-                return b, (i,), ()
-    pairs = [(i, j) for x, i in enumerate(own[:24]) for j in own[x + 1 : 24]]
-    for b in others:
-        room = capacity - fill[b]
-        theirs = sorted(bins[b], key=lambda i: sizes[i])
-        held = [sizes[i] for i in theirs]
-
-        def nearest(s: int, room: int = room, held: list[int] = held) -> int | None:
-            k = bisect.bisect_left(held, s - room)  # the smallest that leaves no overflow
-            return k if k < len(held) and held[k] < s else None
-
-        for i in own:
-            if (k := nearest(sizes[i])) is not None:
-                return b, (i,), (theirs[k],)
-        for i, j in pairs:
-            if (k := nearest(sizes[i] + sizes[j])) is not None:
-                return b, (i, j), (theirs[k],)
-        for i in own:
-            for k, x in enumerate(theirs[:-1]):
-                at = bisect.bisect_left(held, sizes[i] - room - held[k], k + 1)
-                if at < len(held) and held[k] + held[at] < sizes[i]:
-                    return b, (i,), (x, theirs[at])
-    return None
+def _step(d: int, bins: list[list[int]], fill: np.ndarray, sizes: list[int], capacity: int, takes: _Takes) -> tuple | None:
+    """A move, else a one-for-one, two-for-one or one-for-two, to the fullest bin that a step raises: (bin, given, taken)."""
+    own = [sizes[i] for i in bins[d]]
+    room = np.where(fill >= fill[d], capacity - fill, 0)
+    room[d] = 0
+    one, two = _sums(own)
+    if len(fits := np.flatnonzero(room >= one[0])):
+        b = int(fits[np.argmin(room[fits])])
+        s = one[bisect.bisect_right(one, room[b]) - 1]
+        return b, (bins[d][own.index(s)],), ()
+    by_one, by_two = _above(one, capacity), _above(two, capacity)
+    # a piece is worth taking for one or two, two pieces for one
+    gain = np.concatenate([np.minimum(by_one, by_two), by_one]) - np.concatenate([np.arange(capacity + 1)] * 2)
+    key, at = takes.key[: takes.used], takes.bin[: takes.used]
+    there = np.append(room, 0)[at]
+    ok = np.flatnonzero(gain[key] <= there)
+    if not len(ok):
+        return None
+    k = int(ok[np.argmin(there[ok])])
+    b, pair, t = int(at[k]), *divmod(int(key[k]), capacity + 1)
+    theirs = [sizes[i] for i in bins[b]]
+    taken = _pair(bins[b], theirs, t) if pair else (bins[b][theirs.index(t)],)
+    if by_one[t] - t <= there[k]:
+        return b, (bins[d][own.index(int(by_one[t]))],), taken
+    return b, _pair(bins[d], own, int(by_two[t])), taken
+
+
+def _pair(items: list[int], held: list[int], total: int) -> tuple[int, int]:
+    """Two of the items whose sizes make the total."""
+    seen: dict[int, int] = {}
+    for i, s in zip(items, held, strict=True):
+        if total - s in seen:
+            return seen[total - s], i
+        seen[s] = i
+    raise ValueError("no two pieces make the total")
 
 
 def _pack_group(frame: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:

@@ -384,6 +384,27 @@ def test_local_search():
     assert packing.best_fit([], 10) == [] and packing.improve([], [], 10) == []
 
 
+def test_local_search_goes_on_through_all_bins():
+    # two fit in a bin, never three; 64 donors alone leave 476 bins
+    sizes = [50, 50, 50, 49, 49, 49] * 90
+    assert len(packing.improve([[i] for i in range(540)], sizes, 100)) == 270
+    # only the two pieces after the 24 largest give a step: together they are 1 more than the 21
+    sizes = [30] * 24 + [11, 11] + [21, 978]
+    bins = [list(range(26)), [26, 27]]
+    takes = packing._Takes(2, 1000)
+    for k in range(2):
+        takes.put(k, [sizes[i] for i in bins[k]])
+    assert packing._step(0, bins, np.array([742, 999]), sizes, 1000, takes) == (1, (24, 25), (26,))
+    random.seed(5)
+    for _ in range(50):
+        sizes = [random.randint(1, 20) for _ in range(40)]
+        out = packing.improve(before := packing.best_fit(sizes, 20), sizes, 20)
+        assert packing.least_bins(sizes, 20) <= len(out) <= len(before) and sorted(i for b in out for i in b) == list(range(40))
+    random.seed(6)
+    sizes = [random.randint(1200, 1500) for _ in range(2000)]
+    assert len(packing.improve(packing.best_fit(sizes, 4096), sizes, 4096)) <= 680
+
+
 # --- 10 fingerprints
 
 
