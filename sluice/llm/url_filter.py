@@ -56,14 +56,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """url, target: the canonical link or redirect that each page's html states, as an absolute URL; pages without one are left out."""
+    """url, target: a row for each canonical link and redirect that a page's html states, as an absolute URL; pages without one are left out."""
     quoted = r"""\s*=\s*["']?([^"'>\s]+)"""
     html = F.lower(F.col("html"))
     rows = pages.select(pages["url"], pages["html"]).filter(html.contains("canonical") | html.contains("refresh"))
     # one step a projection: an expression that is used again is computed once
-    rows = rows.select("url", F.regexp_extract("html", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0).alias("link"), F.regexp_extract("html", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0).alias("meta"))
-    rows = rows.select("url", F.regexp_extract("link", f"(?is)\\bhref{quoted}", 1).alias("canonical"), F.regexp_extract("meta", f"(?is)\\burl{quoted}", 1).alias("refresh"))
-    rows = rows.select("url", F.when(F.col("canonical") != "", F.col("canonical")).when(F.col("refresh") != "", F.col("refresh")).alias("t")).filter("t IS NOT NULL")
+    link, meta = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+    rows = rows.select("url", F.regexp_extract_all("html", F.lit(link), F.lit(0)).alias("link"), F.regexp_extract_all("html", F.lit(meta), F.lit(0)).alias("meta"))
+    own = lambda tags, name: F.transform(tags, lambda x: F.regexp_extract(x, f"(?is)\\b{name}{quoted}", 1))
+    rows = rows.select("url", F.explode(F.concat(own("link", "href"), own("meta", "url"))).alias("t")).filter("t <> ''")
     rows = rows.select("url", "t", F.regexp_extract("url", r"(?s)^(.*?)://", 1).alias("scheme"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.select("url", "t", "scheme", F.concat("scheme", F.lit("://"), "host").alias("base"), F.concat(F.lit("/"), F.regexp_extract("path", r"(?s)^/(.*/)", 1)).alias("folder"))
     t = F.col("t")

@@ -320,6 +320,20 @@ def test_aliases_carry_decisions(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_page_states_both_links(spark):
+    canonical, refresh = '<link rel="canonical" href="/c">', '<meta http-equiv="refresh" content="0; url=https://x.net/b">'
+    rows = [
+        (1, "https://a.com/p", canonical + refresh), (2, "https://a.com/c", ""),
+        (3, "https://b.com/p", f'<link rel=canonical><link rel=canonical href="/c"><meta http-equiv=refresh content="5">{refresh}'), (4, "https://b.com/c", None),
+        (5, "https://c.com/p", canonical), (6, "https://c.com/c", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r["url"], r["target"]) for r in url_filter.links(pages).collect()) == sorted(
+        [("https://a.com/p", "https://a.com/c"), ("https://a.com/p", "https://x.net/b"), ("https://b.com/p", "https://b.com/c"), ("https://b.com/p", "https://x.net/b"), ("https://c.com/p", "https://c.com/c")]
+    )
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
+
+
 # --- 9 packing
 
 
