@@ -36,17 +36,18 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": part, "component": [top(x) for x in part]})
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: bool = True) -> DataFrame:
     """node, component: each node of an edge with the smallest node that it reaches.
 
     Each round hooks neighbours to the smallest of a node (pre-aggregated, so that a hub costs no more than its edges,
     and joined in a way that lets large partitions be split) and writes the edges to the shared folder. Loops and
-    repeated edges don't matter; nulls are not nodes; without edges there are no rows.
+    repeated edges don't matter; nulls are not nodes; without edges there are no rows. one_task lets few edges be joined
+    by Python in one task; without it there are DataFrame functions alone.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     loops = e.filter("u = v").select("u", "v")
     e = common.staged(e.filter("u <> v").distinct(), "edges")
-    if e.count() <= ONE_TASK_EDGES:
+    if one_task and e.count() <= ONE_TASK_EDGES:
         kind = e.schema["u"].dataType.simpleString()
         found = common.staged(e.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}"), "components")
         common.drop_staged(e)

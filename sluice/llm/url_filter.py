@@ -90,7 +90,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "node", "fit.rule", F.col("fit.verdict").alias("own"))
     if edges.isEmpty():
         return rows.select("page_id", "host", "path", "rule", F.coalesce("own", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("component"))
-    groups = common.staged(connected_components(edges), "aliases")
+    groups = common.staged(connected_components(edges, one_task=False), "aliases")
     url = F.concat(F.lit("x://"), F.col("node"))
     ruled = groups.select("component", host_of(url).alias("host"), path_of(url).alias("path")).select("component", rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("own"))
     decided = ruled.groupBy("component").agg(F.max(F.when(F.col("own") == "allow", 1)).alias("allowed"), F.max(F.when(F.col("own") == "block", 1)).alias("blocked"))

@@ -334,6 +334,16 @@ def test_a_page_states_both_links(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow"}
 
 
+def test_aliases_need_no_python(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/1", '<link rel="canonical" href="http://b.net/2">'), (2, "http://b.net/2", None)], "page_id long, url string, html string")
+
+    def refused(*args, **more):
+        raise AssertionError("Python in a native operator")
+
+    monkeypatch.setattr(type(pages), "mapInPandas", refused)
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()} == {1: "block", 2: "block"}
+
+
 # --- 9 packing
 
 
