@@ -75,13 +75,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_folders(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of the shared folder."""
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(*frames: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folders(df.sparkSession, *{x.rpartition("/")[0] for x in df.inputFiles()})
+
+
+#: Keys that join_spread() broadcasts at most.
+HOT_KEYS = 2000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, by: tuple[str, ...]) -> DataFrame:
+    """rows, each with the columns of its key's row in table (one row a key); rows whose key table lacks are left out.
+
+    count names a column of table with how many of the rows have the key at least; the counts add up to total at most.
+    Keys of more than total / HOT_KEYS rows, of which there are HOT_KEYS at most, are joined by broadcast, and their
+    rows are dealt by the columns `by` instead of the key, so that a key with a third of all rows makes no task larger.
+    """
+    most = max(1, total // HOT_KEYS)
+    extra = [c for c in table.columns if c != key]
+    found = F.struct(*extra)
+    hot = table.filter(F.col(count) > most).select(F.col(key).alias("_hot_key"), found.alias("_hot"))
+    cold = table.filter(F.col(count) <= most).select(F.col(key).alias("_cold_key"), found.alias("_cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    dealt = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*by).cast(rows.schema[key].dataType)))
+    both = dealt.join(cold, F.col("_deal") == F.col("_cold_key"), "left").withColumn("_found", F.coalesce("_hot", "_cold")).filter("_found IS NOT NULL")
+    return both.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in extra])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

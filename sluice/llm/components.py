@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import common
 
 
-#: Counted edges that one task joins at most (some 100 MB); more go through rounds over all tasks.
+#: Edges of numbers (16 bytes each, 5 MB) that one task joins at most; more go through rounds over all tasks.
 ONE_TASK_EDGES = 300_000
 
 
@@ -39,35 +39,35 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", one_task: bool = True) -> DataFrame:
     """node, component: each node of an edge with the smallest node that it reaches.
 
-    Each round hooks neighbours to the smallest of a node (pre-aggregated, so that a hub costs no more than its edges,
-    and joined in a way that lets large partitions be split) and writes the edges to the shared folder. Loops and
-    repeated edges don't matter; nulls are not nodes; without edges there are no rows. one_task lets few edges be joined
-    by Python in one task; without it there are DataFrame functions alone.
+    Each round hooks neighbours to the smallest of a node (pre-aggregated; a hub's edges are dealt over all tasks) and
+    writes the edges to the shared folder. Loops and repeated edges don't matter; nulls are not nodes; without edges
+    there are no rows. one_task lets few edges of numbers be joined by Python in one task, with the same result; without
+    it there are DataFrame functions alone.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     loops = e.filter("u = v").select("u", "v")
     e = common.staged(e.filter("u <> v").distinct(), "edges")
-    if one_task and e.count() <= ONE_TASK_EDGES:
-        kind = e.schema["u"].dataType.simpleString()
+    n, kind = e.count(), e.schema["u"].dataType.simpleString()
+    if one_task and n <= ONE_TASK_EDGES and kind in ("int", "bigint"):
         found = common.staged(e.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}"), "components")
         common.drop_staged(e)
         return _with_loops(found, loops)
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("c"))
+        large = common.join_spread(both, least, "u", "c", 2 * n, ("u", "v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.staged(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = common.join_spread(large, low, "u", "c", large.count(), ("u", "v")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         new = common.staged(small, "edges")
-        mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        mark = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         common.drop_staged(e, large)
-        e = new
-        if tuple(mark) == seen:
+        e, n = new, mark[0]
+        if mark == seen:
             break
-        seen = tuple(mark)
+        seen = mark
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return _with_loops(found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), loops)
 
