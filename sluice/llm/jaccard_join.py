@@ -6,7 +6,8 @@ of its rarest n - ceil(t n) + 1 n-grams; and sizes of linked documents differ by
 falls into candidate components, cut into blocks of bounded size; each pair of blocks is one task that multiplies
 their incidence matrices, a range of columns at a time, accumulates the overlap counts and drops pairs below the
 bound. Large components are first thinned by exact comparison with leaders, so that a huge group of near copies costs
-a comparison or two a document; what leaders don't settle goes to the product as well, so no link is lost.
+a comparison or two a document; what leaders don't settle goes to the product as well, so no link is lost: a component
+whole, or apart by the rare n-grams that its documents share, whichever sends fewer rows.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def _keys(sets: DataFrame, percent: int) -> DataFrame:
     """
     each = sets.select("idx", "n", F.explode("grams").alias("gram"))
     df = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = each.join(df, "gram")
+    held = common.join_spread(each, df, "gram", "df", sets.agg(F.sum("n")).first()[0] or 0, ("idx", "gram"))
     own = held.groupBy("idx", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("g"))  # one document's n-grams at most
     lone = F.col("n") - F.size("g")  # those that no other has stand first in its order
     take = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - lone
@@ -195,40 +196,81 @@ def _linked(inter, a, b, percent: int):
     return inter * 100 >= (a + b - inter) * percent
 
 
+def _by_gram(keys: DataFrame, table: DataFrame) -> DataFrame:
+    """keys with their n-gram's row in table, which counts the n-gram's keys in c; an n-gram of very many is spread."""
+    return common.join_spread(keys, table, "gram", "c", keys.count(), ("gram", "idx")).drop("c")
+
+
 def _groups(keys: DataFrame) -> DataFrame:
-    """idx, grp: candidate components."""
-    least = keys.groupBy("gram").agg(F.min("idx").alias("b"))
-    edges = keys.join(least, "gram").filter("idx <> b").select(F.col("idx").alias("a"), "b").distinct()
+    """idx, grp: candidate components of the keys, a written table."""
+    least = keys.groupBy("gram").agg(F.min("idx").alias("b"), F.count(F.lit(1)).alias("c"))
+    edges = _by_gram(keys, least).filter("idx <> b").select(F.col("idx").alias("a"), "b").distinct()
     return common.staged(connected_components(edges).select(F.col("node").alias("idx"), F.col("component").alias("grp")), "groups")
 
 
-def _lead(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _lead(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
     """Links found by exact comparison with leaders, and idx, comp: the components that they make, of the sets in keys."""
-    counts = keys.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
-    own = Window.partitionBy("idx").orderBy(F.col("c").desc(), "gram")  # a document's keys
-    links, comp = None, keys.select("idx").distinct().withColumn("comp", F.col("idx"))
-    keys = common.staged(keys.join(counts, "gram").withColumn("k", F.row_number().over(own)).filter(F.col("k") <= LEADER_KEYS).select("gram", "idx", "n"), "leader-keys")
-    comp = common.staged(comp, "alone")
+    n = F.count(F.lit(1)).alias("c")
+    own = Window.partitionBy("idx").orderBy(F.col("common").desc(), "gram")  # a document's keys
+    links, comp = None, common.staged(keys.select("idx").distinct().withColumn("comp", F.col("idx")), "alone")
+    common_ = _by_gram(keys, keys.groupBy("gram").agg(n).withColumn("common", F.col("c")))
+    few = common.staged(common_.withColumn("k", F.row_number().over(own)).filter(F.col("k") <= LEADER_KEYS).select("gram", "idx", "n"), "leader-keys")
     arrays = sets.select("idx", "n", "grams")
     for turn in range(ROUNDS):
-        here = keys.join(comp, "idx")
-        lead = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("idx", "comp", "n"), F.xxhash64("idx", F.lit(turn))).alias("lead")).filter("lo <> hi").select("gram", "lead")
-        near = here.join(lead, "gram").filter((F.col("comp") != F.col("lead.comp")) & (F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent))
-        counts = near.groupBy("idx", F.col("lead.idx").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        pairs = common.staged(counts.groupBy("idx").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "pairs")
+        here = common.staged(few.join(comp, "idx"), "here")
+        lead = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("idx", "comp", "n"), F.xxhash64("idx", F.lit(turn))).alias("lead"), n).filter("lo <> hi").select("gram", "lead", "c")
+        near = _by_gram(here, lead).filter((F.col("comp") != F.col("lead.comp")) & (F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent))
+        met = near.groupBy("idx", F.col("lead.idx").alias("b")).agg(n)
+        pairs = common.staged(met.groupBy("idx").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "pairs")
+        common.drop_staged(here)
         if pairs.isEmpty():
             break
-        own = pairs.join(arrays, "idx").select("b", F.col("idx").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
-        both = own.join(arrays.select(F.col("idx").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b")), "b")
+        own_ = pairs.join(arrays, "idx").select("b", F.col("idx").alias("a"), F.col("n").alias("n_a"), F.col("grams").alias("g_a"))
+        both = own_.join(arrays.select(F.col("idx").alias("b"), F.col("n").alias("n_b"), F.col("grams").alias("g_b")), "b")
         inter = F.size(F.array_intersect("g_a", "g_b"))
         found = both.select("a", "b", "n_a", "n_b", inter.alias("i")).filter(_linked(F.col("i"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        links = common.staged(links, "links")
+        links = common.staged(found if links is None else links.unionByName(found), "links")
         groups = connected_components(links).select(F.col("node").alias("idx"), F.col("component").alias("c"))
         comp = common.staged(comp.select("idx").join(groups, "idx", "left").select("idx", F.coalesce("c", "idx").alias("comp")), "comps")
     return links, comp
 
 
+def _apart(keys: DataFrame, comp: DataFrame) -> DataFrame:
+    """idx, grp, comp: what the product still has to compare of documents (gram, idx, n) that make components comp.
+
+    Keys whose documents are of one component can't give a new link. What is left falls into candidate components
+    again; each is compared whole, or by key where that sends fewer rows (keys of the same documents count once): a
+    chain of documents that share a little with the next one each is not compared all with all.
+    """
+    many = lambda c: F.col(c) * F.ceil(F.col(c) / BLOCK_DOCS)  # noqa: E731  rows that are sent for so many documents
+    open_ = keys.join(comp, "idx").groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("gram", "c")
+    left = common.staged(_by_gram(keys, open_), "open-keys")
+    whole = _groups(left)
+    wide = lambda seed: F.sum(F.xxhash64("idx", F.lit(seed)).cast("decimal(20,0)"))
+    same = left.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("idx").alias("idx"), F.max("idx").alias("last"), wide(1).alias("x"), wide(2).alias("y"))
+    kept = same.groupBy("idx", "last", "c", "x", "y").agg(F.min("gram").alias("gram"))
+    kept = common.staged(kept.join(whole, "idx").select("gram", "c", "grp"), "kept-keys")
+    by_key = kept.groupBy("grp").agg(F.sum(many("c")).alias("by_key"))
+    sizes = whole.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    chosen = common.staged(by_key.join(sizes, "grp").filter(F.col("by_key") < many("size")).select("grp"), "by-key")
+    one = whole.join(chosen, "grp", "left_anti").select("idx", "grp")
+    many_ = _by_gram(left, kept.join(chosen, "grp", "left_semi").select("gram", "c")).select("idx", F.col("gram").alias("grp"))
+    return one.unionByName(many_).join(comp, "idx").select("idx", "grp", "comp")
+
+
+def _candidates(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """idx, grp, comp: groups of documents that may hold links, with the components that leaders found; and their links."""
+    groups = _groups(keys)
+    large = common.staged(groups.groupBy("grp").count().filter(F.col("count") > LARGE).select("grp"), "large")
+    if large.isEmpty():
+        return groups.withColumn("comp", F.col("idx")), None
+    big = groups.join(large, "grp", "left_semi")
+    big_keys = common.staged(keys.join(big.select("idx"), "idx", "left_semi"), "big-keys")
+    links, comp = _lead(big_keys, sets, percent)
+    members = groups.join(large, "grp", "left_anti").withColumn("comp", F.col("idx")).unionByName(_apart(big_keys, comp))
+    return common.staged(members, "members"), links
+
+
 def multiply(left: list[np.ndarray], right: list[np.ndarray], columns: int = COLUMNS) -> np.ndarray:
     """Overlap counts of each left with each right set: the product of their incidence matrices, `columns` at a time."""
     flat = np.concatenate([*left, *right])
@@ -256,20 +298,29 @@ def _band(n: F.Column, percent: int) -> F.Column:
     return F.floor(F.log(n.cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
 
 
-def _product(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between sets of one group (idx, grp, comp) that are not of one component yet."""
+def _dealt(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """grp, idx, comp, lo, i, hi, j, left, right: each document at each pair of blocks (i of band lo, j of band hi) that it takes part in.
+
+    A block holds about BLOCK_DOCS documents of a group and of similar size, and meets those of its own and the next band.
+    """
+    group = F.concat_ws("_", "grp", "band")
     rows = members.join(sets.select("idx", "n"), "idx").withColumn("band", _band(F.col("n"), percent))
-    counts = rows.groupBy("grp", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
-    near = counts.select("grp", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")), counts.select("grp", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    rows = rows.join(counts, ["grp", "band"]).join(near[0], ["grp", "band"], "left").join(near[1], ["grp", "band"], "left")
+    counts = common.staged(rows.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("c"), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks")), "blocks")
+    beside = lambda step, name: counts.select("grp", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
+    near = counts.join(beside(1, "above"), ["grp", "band"], "left").join(beside(-1, "below"), ["grp", "band"], "left").select(group.alias("group"), "c", "blocks", "above", "below")
+    rows = common.join_spread(rows.withColumn("group", group), near, "group", "c", counts.agg(F.sum("c")).first()[0] or 0, ("group", "idx"))
     rows = rows.withColumn("k", F.pmod(F.xxhash64("idx"), F.col("blocks")).cast("int"))
     # the blocks that this one meets: its own band's, once a pair, and all of the band above; and it is met by those below
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     mine = F.transform(upto(F.col("blocks")), lambda j: F.struct(F.col("band").alias("lo"), F.least("k", j).alias("i"), F.col("band").alias("hi"), F.greatest("k", j).alias("j"), (F.col("k") <= j).alias("left"), (F.col("k") >= j).alias("right")))
     above = F.transform(upto(F.coalesce("above", F.lit(0))), lambda j: F.struct(F.col("band").alias("lo"), F.col("k").alias("i"), (F.col("band") + 1).alias("hi"), j.alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right")))
     below = F.transform(upto(F.coalesce("below", F.lit(0))), lambda j: F.struct((F.col("band") - 1).alias("lo"), j.alias("i"), F.col("band").alias("hi"), F.col("k").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right")))
-    dealt = rows.select("grp", "idx", "comp", F.explode(F.concat(mine, above, below)).alias("t")).select("grp", "idx", "comp", "t.*")
-    dealt = dealt.join(sets.select("idx", "grams"), "idx")
+    return rows.select("grp", "idx", "comp", F.explode(F.concat(mine, above, below)).alias("t")).select("grp", "idx", "comp", "t.*")
+
+
+def _product(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between sets of one group (idx, grp, comp) that are not of one component yet."""
+    dealt = _dealt(members, sets, percent).join(sets.select("idx", "grams"), "idx")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame["left"]], frame[frame["right"]]
@@ -309,8 +360,8 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     class_id is the signature of the row's set of n-grams. component_id is the smallest doc_id reachable by links, the
     row's own included. Null and empty texts, and those without words, have an empty set and link with nothing, not
-    even each other. Repeated rows are of one class; a doc_id with several texts has a row for each. An empty table
-    gives no rows. Other columns are ignored.
+    even each other. Very long texts take part whole. Repeated rows are of one class; a doc_id with several texts has a
+    row for each. An empty table gives no rows. Other columns are ignored.
     """
     common.ready(docs.sparkSession)
     # a word and its white space are six bytes or so
@@ -322,24 +373,13 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     sets = _sets(docs, wanted, words)
     sets = common.staged(sets.dropDuplicates(["sig"]), "classes-sets") if sets.groupBy("sig").count().filter("count > 1").count() else sets
     keys = _keys(sets, percent)
-    groups = _groups(keys)
-    sizes = groups.groupBy("grp").count()
-    large = common.staged(sizes.filter(F.col("count") > LARGE).select("grp"), "large")
-    members, links = groups.withColumn("comp", F.col("idx")), None
-    if not large.isEmpty():
-        big = groups.join(large, "grp", "left_semi")
-        big_keys = common.staged(keys.join(big.select("idx"), "idx", "left_semi"), "big-keys")
-        links, comp = _lead(big_keys, sets, percent)
-        # keys whose documents are of one component by now can't give a new link
-        open_ = big_keys.join(comp, "idx").groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-        left = common.staged(big_keys.join(open_, "gram", "left_semi"), "open-keys")
-        again = _groups(left).join(comp, "idx")
-        members = groups.join(large, "grp", "left_anti").withColumn("comp", F.col("idx")).unionByName(again)
-    found = _product(common.staged(members, "members"), sets, percent)
+    members, links = _candidates(keys, sets, percent)
+    found = _product(members, sets, percent)
     links = found if links is None else links.unionByName(found)
     parts = connected_components(links)
     named = parts.join(sets.select(F.col("idx").alias("node"), "sig"), "node").join(classes.select("sig", "doc_id"), "sig")
     named = common.staged(named.select("component", "sig", "doc_id"), "named")
+    common.drop_staged(sets, keys, found)
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("sig").alias("group_id"))
     of = named.join(lowest, "component").select("sig", "component_id", "group_id")
     own = classes.join(of, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group_id", "sig").alias("group_id"))
@@ -351,7 +391,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """The rows of docs, with all their columns, without those that a kept one is linked with or equals in its n-grams.
 
     Of each component the row with the smallest doc_id stays, of several such the one of the smallest signature, of
-    repeated rows one; rows without words all stay.
+    repeated rows one; rows without words, null and empty texts all stay. Very long texts take part whole; an empty
+    table stays empty.
     """
     found = common.staged(link_components(docs, words, percent), "linked")
     stay = found.filter(F.col("group_id").isNotNull()).groupBy("group_id").agg(F.min(F.struct("doc_id", "class_id")).alias("s")).select("s.*")
