@@ -145,17 +145,21 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 
 def pick(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], most: int) -> list[tuple[str, int]]:
-    """(text, label) of at most rows[y] documents labelled y and of `most` characters, chosen by a hash of doc_id, never held-out ones."""
+    """(text, label) of at most rows[y] documents labelled y and of `most` characters, chosen by a hash of doc_id, never held-out ones.
+
+    Only labelled ids that docs has with such a text count. Of several texts of an id the least is taken and of several
+    labels the largest, so that as many rows as asked for, and no more, reach the driver, whatever repeats.
+    """
     spark = docs.sparkSession
-    mine = labels.select(labels["doc_id"], labels[label].cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out()).dropDuplicates(["doc_id"])
-    ids = []
-    for y, n in rows.items():
-        # more ids than rows wanted: some may not be in docs, or be long
-        ids += mine.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n + n // 4).collect()
+    mine = labels.select(labels["doc_id"], labels[label].cast("int").alias("y")).filter(F.col("y").isin(*rows) & F.col("doc_id").isNotNull() & ~common.held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
+    short = docs.select(docs["doc_id"], docs["text"]).filter(F.length("text") <= most)
+    there = common.staged(mine.join(short.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    ids = [r for y, n in rows.items() for r in there.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    common.drop_staged(there)
     table = spark.createDataFrame(ids, "doc_id long, y int")
-    own = docs.select(docs["doc_id"], docs["text"]).filter(F.length("text") <= most).join(F.broadcast(table), "doc_id").collect()  # 1.25 x rows at most
-    own.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["text"]))
-    return [(r["text"], r["y"]) for y, n in rows.items() for r in [x for x in own if x["y"] == y][:n]]
+    own = short.join(F.broadcast(table), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()  # the sum of rows at most
+    own.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    return [(r["text"], r["y"]) for y in rows for r in own if r["y"] == y]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
@@ -189,7 +193,11 @@ def classify(docs: DataFrame, p: dict, threshold: float = THRESHOLD) -> DataFram
 
 
 def keep_good(docs: DataFrame, p: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are predicted good, with all their columns."""
+    """The rows of docs that are predicted good, with all their columns.
+
+    Null and empty texts are scored as padding alone, very long ones whole. Rows are independent, so ties and repeated
+    rows stay or go together; an empty table stays empty.
+    """
     common.ready(docs.sparkSession)
     at = docs.columns.index("text")
 
