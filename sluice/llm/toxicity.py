@@ -23,8 +23,8 @@ from . import common
 
 #: Labelled rows that are learned from at most: toxic and clean ones, of SAMPLE_CHARS at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 5000, 30_000
-#: Lengths of learned word beginnings; toxic rows that one must be found in; least log odds of an entry.
-SHORTEST, LONGEST, LEAST_ROWS, LEAST_ODDS = 4, 9, 5, 2.5
+#: Lengths of learned word beginnings, beside whole words of any length; toxic rows that an entry must be found in; its least log odds.
+SHORTEST, STEM, LEAST_ROWS, LEAST_ODDS = 4, 9, 5, 2.5
 THRESHOLD = 0.5
 
 #: Words that are insults anywhere, and phrases in which they are not (fixed values).
@@ -110,8 +110,8 @@ class Lexicon:
 
 
 def _learn_entries(toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """Word beginnings that toxic rows have and clean ones lack; each adds rows that shorter lists don't cover."""
-    heads = lambda w: [w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1)]
+    """Word beginnings and whole words that toxic rows have and clean ones lack; each adds rows that shorter lists don't cover."""
+    heads = lambda w: [*(w[:k] for k in range(SHORTEST, min(STEM, len(w)) + 1)), *([w] if len(w) > STEM else ())]
     rows_of: dict[str, list[int]] = defaultdict(list)
     for i, text in enumerate(toxic):
         for h in {h for w in set(_WORDS.findall(fold(text))) for h in heads(w)}:
@@ -181,7 +181,11 @@ def _listed(score: callable) -> callable:
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are predicted clean, with all their columns."""
+    """The rows of docs that are predicted clean, with all their columns.
+
+    Null and empty texts have the curve's base score, very long ones are matched whole. Rows are independent, so ties
+    and repeated rows stay or go together; an empty table stays empty.
+    """
     common.ready(docs.sparkSession)
     parts, at = (lexicon.entries, lexicon.curve), docs.columns.index("text")
 
