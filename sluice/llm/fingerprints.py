@@ -1,17 +1,18 @@
 """Document fingerprints: a Merkle tree over units, paragraphs and sections.
 
-A paragraph is a line; it holds units (sentences, and of long ones content-defined runs of words); paragraphs form
-sections at content-defined places. Each node's digest covers its children's, so roots test equality, and two trees
-are compared by descending only where digests differ. The fingerprint is the root followed by the short digests and
-weights of all units with the tree's shape, so that it alone gives likeness and the places of edits.
+A paragraph is a line; it holds units (a few sentences, joined at content-defined places, and of long ones
+content-defined runs of characters); paragraphs form sections at content-defined places. Each node's digest covers its children's, so roots test equality, and two trees
+are compared by descending only where digests differ. The fingerprint is the whole tree, so that it alone gives
+likeness and the places of edits.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -22,90 +23,202 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Sentences beyond this many characters are cut at words that their own bytes choose, one of CUT on average.
-LONG_UNIT, CUT = 96, 8
+#: A sentence ends a unit if it ends a line or the last WINDOW of its characters choose so, one of JOINED on average.
+#: Units beyond LONG characters are cut after characters that the last WINDOW of them choose, one of CUT on average, into
+#: units of LEAST characters at least (the last may be shorter) and MOST at most, which a byte holds.
+JOINED, LONG, WINDOW, CUT, LEAST, MOST = 3, 192, 8, 64, 32, 255
 #: One paragraph of so many ends a section, by its digest.
 SECTION = 4
-_UNITS = re.compile(r"[^.!?\n]*[.!?\n]*\s*", re.S)
-_WORDS = re.compile(r"\S+\s*|\s+")
-
+#: Characters of a node's digest in a fingerprint: 9 bytes, of a unit 8 and its length.
+NODE, _NODE_BYTES = 12, 9
+#: Kinds of characters: 1 white space, 3 a sentence's end.
+_KIND = np.zeros(0x3002, dtype=np.uint8)
+_KIND[[*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 1
+_KIND[[ord(c) for c in ".!?\n"]] = 3
+_POWERS = np.array([pow(0x9E3779B1, k + 1, 2**32) for k in range(WINDOW)], dtype=np.uint32)
+
+
+@dataclass
+class Units:
+    """A text's units in order: their ends in characters, whether a sentence ends there and a line does, and 9 bytes each."""
+
+    ends: np.ndarray
+    sentence: np.ndarray
+    line: np.ndarray
+    raw: bytes
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return h >> np.uint32(16)
+
+
+def _cuts(codes: np.ndarray, starts: list[int], ends: list[int]) -> list[int]:
+    """Where units that are too long are cut: after characters that the last WINDOW of them choose, else after MOST."""
+    h = np.zeros(len(codes), dtype=np.uint32)
+    for k in range(min(WINDOW, len(codes))):
+        h[k:] += (codes[: len(codes) - k] + np.uint32(1)) * _POWERS[k]
+    marks = np.flatnonzero(_mixed(h) % np.uint32(CUT) == 0) + 1
+    # LEAST is more than WINDOW, so what stands before a unit doesn't matter
+    first, last = np.searchsorted(marks, np.array(starts) + LEAST).tolist(), np.searchsorted(marks, ends).tolist()
+    marks, out = marks.tolist(), []
+    for start, end, i, j in zip(starts, ends, first, last, strict=True):
+        for at in [*marks[i:j], end]:
+            while at - start > MOST:
+                start += MOST
+                if start < end:
+                    out.append(start)
+            if at < end and at - start >= LEAST:
+                out.append(at)
+                start = at
+    return out
 
-def _units(text: str) -> Iterator[str]:
-    for sentence in _UNITS.findall(text):
-        if len(sentence) <= LONG_UNIT:
-            if sentence:
-                yield sentence
-            continue
-        held: list[str] = []
-        for word in _WORDS.findall(sentence):
-            held.append(word)
-            raw = word.strip().encode()
-            if (sum(raw) + 31 * len(raw)) % CUT == 0 or len(held) >= 64:
-                yield "".join(held)
-                held = []
-        if held:
-            yield "".join(held)
 
+def _chosen(codes: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether the last characters of each sentence, none before its start, choose it as the end of a unit."""
+    h, start = np.zeros(len(stops), dtype=np.uint32), np.concatenate([[0], stops[:-1]])
+    for k in range(WINDOW):
+        at = stops - 1 - k
+        h += np.where(at >= start, codes[np.maximum(at, 0)] + np.uint32(1), np.uint32(0)) * _POWERS[k]
+    return _mixed(h) % np.uint32(JOINED) == 0
+
+
+def units(text: str) -> Units:
+    """A sentence ends with the last of its . ! ? or line ends and the white space around them."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    n = len(codes)
+    kind = _KIND[np.minimum(codes, 0x3001)]
+    trail = kind > 0
+    last = trail.copy()
+    last[:-1] &= ~trail[1:]
+    runs = np.flatnonzero(last) + 1  # ends of runs of white space and sentence ends
+    first = np.flatnonzero(trail & ~np.concatenate([[False], trail[:-1]]))
+    counts, lines = np.concatenate([[0], np.cumsum(kind == 3)]), np.concatenate([[0], np.cumsum(codes == 10)])
+    stops = runs[counts[runs] > counts[first]]
+    own = first[counts[runs] > counts[first]]
+    ends = stops[(lines[stops] > lines[own]) | _chosen(codes, stops)] if len(stops) else stops
+    if n and (not len(ends) or ends[-1] < n):
+        ends = np.append(ends, n)
+    sentence = np.ones(len(ends), bool)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    if len(long := np.flatnonzero(ends - starts > LONG)):
+        cuts = np.array(_cuts(codes, starts[long].tolist(), ends[long].tolist()), dtype=ends.dtype)
+        both = np.concatenate([ends, cuts])
+        order = np.argsort(both, kind="stable")
+        ends, sentence = both[order], np.concatenate([sentence, np.zeros(len(cuts), bool)])[order]
+        starts = np.concatenate([[0], ends[:-1]])
+    encoded = text.encode()
+    if len(encoded) == n:
+        begin, stop = starts.tolist(), ends.tolist()
+    else:
+        offset = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80).view(np.uint8) + (codes >= 0x800).view(np.uint8) + (codes >= 0x10000).view(np.uint8), dtype=np.int64)])
+        begin, stop = offset[starts].tolist(), offset[ends].tolist()
+    leaf = np.zeros((len(ends), _NODE_BYTES), dtype=np.uint8)
+    blake = hashlib.blake2b
+    leaf[:, :8] = np.frombuffer(b"".join([blake(encoded[a:b], digest_size=8).digest() for a, b in zip(begin, stop, strict=True)]), dtype=np.uint8).reshape(-1, 8)
+    leaf[:, 8] = ends - starts
+    return Units(ends, sentence, lines[ends] > lines[starts], leaf.tobytes())
+
+
+def changed(own: Units, text: str, m: int, head: str) -> Units:
+    """The units of text[:m] + head, of which those of whole sentences before m are taken from the text's own."""
+    # a sentence is whole where the character after it stands before m too
+    k = int(np.searchsorted(own.ends, m - 1, side="right"))
+    while k and not own.sentence[k - 1]:
+        k -= 1
+    start = int(own.ends[k - 1]) if k else 0
+    rest = units(text[start:m] + head)
+    return Units(np.concatenate([own.ends[:k], rest.ends + start]), np.concatenate([own.sentence[:k], rest.sentence]), np.concatenate([own.line[:k], rest.line]), own.raw[: k * _NODE_BYTES] + rest.raw)
+
+
+@dataclass
+class Tree:
+    """root, characters, and sections: (digest, paragraphs), a paragraph (digest, its units of NODE characters each)."""
+
+    root: str
+    size: int
+    sections: list[tuple[str, list[tuple[str, str]]]]
+
+    def __str__(self) -> str:
+        return f"{self.root}.{self.size}" + "".join("/" + s + "".join(":" + p + u for p, u in own) for s, own in self.sections)
+
+    @staticmethod
+    def read(print_: str) -> Tree:
+        head, *sections = print_.split("/")
+        root, _, size = head.partition(".")
+        cut = lambda p: (p[:NODE], p[NODE:])
+        return Tree(root, int(size), [(s[:NODE], [cut(p) for p in s[NODE + 1 :].split(":")]) for s in sections])
+
+
+def _shown(raw: bytes) -> str:
+    return base64.b64encode(raw, altchars=b"-_").decode()
+
+
+def _node(kind: bytes, raw: bytes, size: int = _NODE_BYTES) -> bytes:
+    return hashlib.blake2b(raw, digest_size=size, person=kind).digest()
+
+
+def tree(own: Units) -> Tree:
+    stops = np.flatnonzero(own.line) + 1
+    if len(own.ends) and (not len(stops) or stops[-1] < len(own.ends)):
+        stops = np.append(stops, len(own.ends))
+    sections, tops, digests, held, start = [], [], [], [], 0
+
+    def close() -> None:
+        nonlocal digests, held
+        tops.append(_node(b"section", b"".join(digests)))
+        sections.append((_shown(tops[-1]), held))
+        digests, held = [], []
+
+    for stop in stops.tolist():
+        raw = own.raw[start * _NODE_BYTES : stop * _NODE_BYTES]
+        start = stop
+        digests.append(_node(b"paragraph", raw))
+        held.append((_shown(digests[-1]), _shown(raw)))
+        if digests[-1][0] % SECTION == 0:
+            close()
+    if held:
+        close()
+    return Tree(_node(b"root", b"".join(tops), 16).hex(), int(own.ends[-1]) if len(own.ends) else 0, sections)
+
+
+def fingerprint(text: str) -> str:
+    """root.characters, then /section and its :paragraphs, each followed by its units; all nodes as NODE characters of base64."""
+    return str(tree(units(text)))
+
+
+def _differ(x: list[tuple], y: list[tuple]) -> tuple[list, list]:
+    """The nodes (digest, children) of each list that the other lacks, copies counted."""
+    out = []
+    for own, other in ((x, Counter(d for d, _ in y)), (y, Counter(d for d, _ in x))):
+        left = []
+        for node in own:
+            if other[node[0]] > 0:
+                other[node[0]] -= 1
+            else:
+                left.append(node)
+        out.append(left)
+    return out[0], out[1]
 
-def _digest(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=16).digest()
 
+def _weight(nodes: Counter) -> int:
+    return sum(base64.b64decode(u, altchars=b"-_")[8] * n for u, n in nodes.items())
 
-def fingerprint(text: str, known: dict[str, bytes] | None = None) -> str:
-    """root/section/section...; a section is paragraphs joined by '.', a paragraph its units of 10 hex digits each.
 
-    known: digests of units met before, which an edited text shares.
-    """
-    known = {} if known is None else known
-    tops: list[bytes] = []
-    shape: list[str] = []
-    section: list[tuple[bytes, str]] = []
-    own: list[bytes] = []
-    shown: list[str] = []
-
-    def close_section() -> None:
-        nonlocal section
-        if section:
-            tops.append(_digest(b"s" + b"".join(d for d, _ in section)))
-            shape.append(".".join(s for _, s in section))
-            section = []
-
-    def close_paragraph() -> None:
-        nonlocal own, shown
-        if own:
-            d = _digest(b"p" + b"".join(own))
-            section.append((d, "".join(shown)))
-            own, shown = [], []
-            if d[0] % SECTION == 0:
-                close_section()
-
-    for unit in _units(text):
-        if (d := known.get(unit)) is None:
-            d = known[unit] = _digest(b"u" + unit.encode())
-        own.append(d)
-        shown.append(f"{d[:4].hex()}{min(255, len(unit)):02x}")
-        if "\n" in unit:
-            close_paragraph()
-    close_paragraph()
-    close_section()
-    return "/".join([_digest(b"r" + b"".join(tops)).hex(), *shape])
-
-
-def _weights(print_: str) -> Counter:
-    out: Counter = Counter()
-    for part in print_.partition("/")[2].replace("/", ".").split("."):
-        for i in range(0, len(part), 10):
-            out[part[i : i + 10]] += int(part[i + 8 : i + 10], 16)
-    return out
+def alike(a: Tree, b: Tree) -> float:
+    """Twice the characters in common units over those of both; 1 exactly when the roots are equal. Equal branches are not entered."""
+    if a.root == b.root:
+        return 1.0
+    x, y = _differ(a.sections, b.sections)
+    x, y = _differ([p for _, own in x for p in own], [p for _, own in y for p in own])
+    m, n = (Counter(u[i : i + NODE] for _, u in own for i in range(0, len(u), NODE)) for own in (x, y))
+    missing = _weight(m - n) + _weight(n - m)
+    total = a.size + b.size
+    return min(1 - missing / total, 1 - 1e-9) if total else 0.0
 
 
 def likeness(a: str, b: str) -> float:
-    """Twice the weight of common units over the weight of all; 1 exactly when the roots are equal."""
-    if a[:32] == b[:32]:
-        return 1.0
-    x, y = _weights(a), _weights(b)
-    total = x.total() + y.total()
-    return min(2 * (x & y).total() / total, 1 - 1e-9) if total else 0.0
+    return 1.0 if a == b else alike(Tree.read(a), Tree.read(b))
 
 
 def differing(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
@@ -116,24 +229,27 @@ def differing(a: str, b: str) -> list[tuple[str, int, int, int, int]]:
     if a[:32] == b[:32]:
         return []
 
-    def opened(items: list[str], level: int) -> list[str]:
-        if level == 1:
-            return [p for s in items for p in s.split(".")]
-        return [p[i : i + 10] for p in items for i in range(0, len(p), 10)]
+    def opened(nodes: list[tuple], level: int) -> list[tuple]:
+        return [p for _, own in nodes for p in own] if level == 1 else [(u[i : i + NODE], None) for _, u in nodes for i in range(0, len(u), NODE)]
 
-    def descend(x: list[str], y: list[str], level: int, ox: int, oy: int) -> list[tuple]:
+    def descend(x: list[tuple], y: list[tuple], level: int, before: list[tuple[int, int]]) -> list[tuple]:
+        """before: for this level and those below, how many nodes stand in front of x and y."""
         out = []
-        for tag, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        for tag, i, j, k, m in SequenceMatcher(None, [d for d, _ in x], [d for d, _ in y], autojunk=False).get_opcodes():
             if tag == "equal":
                 continue
             if level < 2 and tag == "replace":
-                before_x, before_y = opened(x[:i], level + 1), opened(y[:k], level + 1)
-                out += descend(opened(x[i:j], level + 1), opened(y[k:m], level + 1), level + 1, len(before_x) if level else len(before_x), len(before_y))
+                fronts, inner = [(x[:i], y[:k])], []
+                for below in range(level + 1, 3):
+                    fronts.append(tuple(opened(f, below) for f in fronts[-1]))
+                    inner.append((before[below - level][0] + len(fronts[-1][0]), before[below - level][1] + len(fronts[-1][1])))
+                out += descend(opened(x[i:j], level + 1), opened(y[k:m], level + 1), level + 1, inner)
             else:
+                ox, oy = before[0]
                 out.append((("section", "paragraph", "unit")[level], ox + i, ox + j, oy + k, oy + m))
         return out
 
-    return descend([s for s in a.split("/")[1:]], [s for s in b.split("/")[1:]], 0, 0, 0)
+    return descend(Tree.read(a).sections, Tree.read(b).sections, 0, [(0, 0)] * 3)
 
 
 def edited(text: str, following: str) -> str:
@@ -176,8 +292,9 @@ def prints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is that of the next larger doc_id (the last one's is the first; a lone document is its own).
-    Null texts count as empty: no characters, the root over nothing, likeness 1 to another empty text. Rows of one
-    doc_id follow each other by text, repeated rows included. An empty table gives no rows. Other columns are ignored.
+    Null texts count as empty: no characters, the root over nothing, likeness 1 to another empty text. Very long texts
+    are read whole. Rows of one doc_id follow each other by text, repeated rows included. An empty table gives no rows.
+    Other columns are ignored.
     """
     common.ready(docs.sparkSession)
 
@@ -188,13 +305,15 @@ def prints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in common.blocks(batch):
                 for key, text, ahead in zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True):
-                    units: dict[str, bytes] = {}
-                    own = (key, text, fingerprint(text, units), units)
+                    own = units(text)
+                    mine = tree(own)
                     if before is not None:
-                        old = edited(before[1], text)
-                        print_ = before[2] if old == before[1] else fingerprint(old, before[3])
-                        out.append((before[0], len(before[1]), hashlib.sha256(old.encode()).hexdigest(), before[2], print_, likeness(before[2], print_), likeness(before[2], own[2])))
-                    before = own
+                        last_key, last_text, last_units, last_tree = before
+                        old = edited(last_text, text)
+                        k = len(last_text) // 4
+                        other = last_tree if old == last_text else tree(changed(last_units, last_text, len(last_text) - k, text[:k]))
+                        out.append((last_key, len(last_text), hashlib.sha256(old.encode()).hexdigest(), str(last_tree), str(other), alike(last_tree, other), alike(last_tree, mine)))
+                    before = (key, text, own, mine)
                     if ahead:
                         before = None
                         break
