@@ -2,7 +2,7 @@
 
 No piece of the vocabulary holds a whitespace marker after another character, so merges never cross from a
 non-marker to a marker: a text falls apart into chunks (a run of markers and what follows it) that encode alone.
-Each task keeps a table of the distinct chunks it has met; a chunk is segmented once and its ids are joined back by
+Each worker keeps a table of the distinct chunks it has met; a chunk is segmented once and its ids are joined back by
 position.
 """
 
@@ -79,6 +79,16 @@ class Chunks(dict):
         return out
 
 
+_TABLES: dict[str, Chunks] = {}
+
+
+def _table(model: str) -> Chunks:
+    """A worker's table, which its next tasks use again."""
+    if model not in _TABLES:
+        _TABLES[model] = Chunks(model)
+    return _TABLES[model]
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document.
 
@@ -88,7 +98,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def make():
-        table = Chunks(model)
+        table = _table(model)
 
         def work(texts: list[str]) -> list[list]:
             n, ids_sha, text_sha = [], [], []
