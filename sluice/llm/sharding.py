@@ -102,13 +102,16 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> tuple[
 def shard(docs: DataFrame, shards: int = 16, seed: int = 20) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, row_no.
 
-    Null texts count as none: size 1 and the crc32 of nothing. Ties of doc_id are ordered by size and crc32, so
-    repeated rows are interchangeable. An empty table gives no rows. Other columns of docs are ignored.
+    Null texts count as none: size 1 and the crc32 of nothing, as empty ones have. Null ids come first. Very long texts
+    count whole. Ties of doc_id are ordered by size and crc32, so repeated rows are interchangeable. An empty table
+    gives no rows. Other columns of docs are ignored.
     """
     common.ready(docs.sparkSession)
     raw = F.coalesce(docs["text"], F.lit("")).cast("binary")
     rows = docs.select(docs["doc_id"], (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    numbered, n = number_rows(common.staged(rows, "sizes"), ["doc_id", "size", "text_crc32"])
+    sizes = common.staged(rows, "sizes")
+    numbered, n = number_rows(sizes, ["doc_id", "size", "text_crc32"])
+    common.drop_staged(sizes)
 
     @F.pandas_udf("long")
     def place(row: pd.Series) -> pd.Series:
