@@ -367,7 +367,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # a word and its white space are six bytes or so
     size = docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
     credits = _credits(docs, words, max(1, -(-size // (6 * BUCKET_GRAMS))))
-    classes = credits.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("credit").alias("credit"))
+    classes = credits.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("credit").alias("credit"), F.count(F.lit(1)).alias("c"))
     classes = common.staged(classes, "classes")
     wanted = classes.filter(F.col("credit") * 100 >= F.col("n") * percent).select("doc_id", "sig")
     sets = _sets(docs, wanted, words)
@@ -382,9 +382,11 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     common.drop_staged(sets, keys, found)
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("sig").alias("group_id"))
     of = named.join(lowest, "component").select("sig", "component_id", "group_id")
-    own = classes.join(of, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group_id", "sig").alias("group_id"))
-    rows = credits.join(own, "sig", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("sig").alias("class_id"), F.when(F.col("n") > 0, F.col("group_id")).alias("group_id"))
+    own = classes.join(of, "sig", "left").select("sig", "c", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group_id", "sig").alias("group_id"))
+    rows = common.join_spread(credits.filter("n > 0"), own, "sig", "c", classes.agg(F.sum("c")).first()[0] or 0, ("doc_id", "sig"))
+    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sig").alias("class_id"), "group_id")
+    alone = credits.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("sig").alias("class_id"), F.lit(None).cast("string").alias("group_id"))
+    return rows.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
