@@ -31,3 +31,4 @@ def test_queue_feeds_the_engine_in_polls(spark, tmp_path):
     m = engine.metrics().first()
     assert (m["events_received"], m["duplicates_filtered"], m["rules_matched"], m["actions_triggered"]) == (28, 3, 12, 12)
     assert queue.committed(path) >= 25
+    assert queue.committed_keys(path) == {(f"e{i:03}", "RIDE") for i in range(25)} and queue.held(path) == 28
