@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import jsoncols
+
 _NUMBERS = ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
@@ -85,4 +87,4 @@ def event_fields(payload: str = "payload", enriched: str | None = None, typed: d
 
 def parsed(text: Column) -> Column:
     """A payload as a variant: null and unreadable text give an empty object."""
-    return F.coalesce(F.try_parse_json(text), F.parse_json(F.lit("{}")))
+    return F.coalesce(jsoncols.parse(text), F.parse_json(F.lit("{}")))

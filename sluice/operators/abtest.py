@@ -15,7 +15,7 @@ def thresholds(variants: Mapping[str, float]) -> list[tuple[str, int]]:
     if not variants:
         raise ValueError("no variants")
     out, total = [], 0.0
-    for name in sorted(variants):
+    for name in sorted(variants, key=lambda n: n.encode("utf-16-be", "surrogatepass")):  # as the JVM orders text
         total += variants[name]
         out.append((name, int(total * BUCKETS)))
     return out
@@ -34,7 +34,7 @@ def variant_of(user: Column, variants: Mapping[str, float]) -> Column:
 
 def variant_by_map(user: Column, variants: Column) -> Column:
     """The same for variants that differ by row, as a map column; null for an empty map."""
-    entries = F.array_sort(F.map_entries(variants))
+    entries = F.array_sort(F.transform(F.map_entries(variants), lambda e: F.struct(F.hex(F.encode(e["key"], "UTF-16BE")).alias("rank"), e["key"].alias("key"), e["value"].alias("value"))))
     start = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("string").alias("found"))
     bucket = ab_bucket(user)
     pick = F.aggregate(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
@@ -13,20 +14,25 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     """df with the column that step makes: step(state, the row's inputs) -> (state, value); each key begins with start().
 
     Rows are dealt by key and sorted on disk where they must be; the fold passes over sorted Arrow batches and holds one
-    key's state at a time, so a key of any size fits. out is "name type".
+    key's state at a time, so a key of any size fits. Keys and inputs reach step as Python values, nulls as None; all
+    columns of df pass through as Arrow, unchanged. out is "name type".
     """
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(out).fields])
-    name = schema.fields[-1].name
+    made_field = StructType.fromDDL(out).fields[0]
+    schema = StructType([*df.schema.fields, made_field])
+    key_at, input_at = [df.columns.index(k) for k in keys], [df.columns.index(c) for c in inputs]
+    kind = to_arrow_type(made_field.dataType)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for frame in batches:
+        for batch in batches:
             made = []
-            for own, row in zip(frame[keys].itertuples(index=False, name=None), frame[inputs].itertuples(index=False, name=None), strict=True):
-                if key is None or own != key:
+            owns = zip(*(batch.column(i).to_pylist() for i in key_at), strict=True)
+            rows = zip(*(batch.column(i).to_pylist() for i in input_at), strict=True)
+            for own, row in zip(owns, rows, strict=True):
+                if own != key:
                     key, state = own, start()
                 state, value = step(state, row)
                 made.append(value)
-            yield frame.assign(**{name: made})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, made_field.name])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
