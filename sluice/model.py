@@ -90,6 +90,8 @@ class Campaign:
     user_window_ms: int = YEAR_MS
     start: str | None = None
     end: str | None = None
+    #: How often the budget was replaced; what was spent counts against its own budget.
+    budget_epoch: int = 0
 
     def __post_init__(self):
         if self.id is None or self.trigger is None:
@@ -147,5 +149,5 @@ EVENTS = T.StructType([
 
 CAMPAIGNS = (
     "campaign_id string, trigger string, status string, budget long, currency string, delay_ms long, max_per_user int, user_window_ms long, start_ts timestamp, end_ts timestamp, "
-    "variants map<string,double>, actions array<struct<action_type:string,service:string,params:map<string,string>>>"
+    "variants map<string,double>, actions array<struct<action_type:string,service:string,params:map<string,string>>>, budget_epoch int"
 )

@@ -31,6 +31,11 @@ def problem(action_type: Column, service: Column) -> Column:
     return F.when(action_type.isNull() | ~action_type.isin(*ACTION_TYPES), INVALID_TYPE).when(service.isNull() | service.rlike(r"^\s*$"), INVALID_SERVICE)
 
 
+def submittable(action: Column) -> Column:
+    """Whether an action of a campaign can be submitted: it has a type and a service."""
+    return problem(action["action_type"], action["service"]).isNull()
+
+
 def rate_limited(requests: DataFrame, rates: Mapping[str, Rate], time: str = "created_at", order: tuple[str, ...] = ("created_at", "request_id"), default: Rate = Rate(), tokens: int = 1) -> DataFrame:
     """requests with allowed and tokens_left: each service's bucket starts full, refills by the time passed and gives `tokens` a request.
 
@@ -42,7 +47,9 @@ def rate_limited(requests: DataFrame, rates: Mapping[str, Rate], time: str = "cr
         service, us = row
         rate = rates.get(service, default)
         held, last = state if state is not None else (float(rate.capacity), us)
-        if us > last:
+        if us is not None and last is None:
+            last = us
+        if us is not None and us > last:
             held, last = min(rate.capacity, held + (us - last) / 1e6 * rate.refill_per_second), us
         ok = held >= tokens
         held -= tokens if ok else 0
@@ -53,30 +60,49 @@ def rate_limited(requests: DataFrame, rates: Mapping[str, Rate], time: str = "cr
     return out.select(*requests.columns, (F.col("_t")[0] > 0).alias("allowed"), F.col("_t")[1].alias("tokens_left"))
 
 
-def acquire(requests: DataFrame, rates: Mapping[str, Rate], time: str = "created_at", default: Rate = Rate()) -> DataFrame:
-    """requests with allowed and tries, as a dispatcher takes tokens: TOKEN_TRIES tries, TOKEN_WAIT_MS apart, each in its turn among all tries of the service."""
+def acquire(requests: DataFrame, rates: Mapping[str, Rate], time: str = "created_at", default: Rate = Rate(), levels: DataFrame | None = None) -> DataFrame:
+    """requests with allowed and tries, as a dispatcher takes tokens: TOKEN_TRIES tries, TOKEN_WAIT_MS apart, each in its turn among all tries of the service.
+
+    levels (service, tokens, us) says what earlier requests have left in the buckets, which are full else; tokens and us
+    are what is left after the request's last try, and when.
+    """
     wait = TOKEN_WAIT_MS * 1000
 
     def step(state, row):
-        service, us, request, attempt = row
+        service, us, request, attempt, tokens, since = row
         rate = rates.get(service, default)
-        held, last, done = state if state is not None else (float(rate.capacity), us, {})
+        if state is not None:
+            held, last, done = state
+        else:
+            held, last, done = (float(rate.capacity), us, {}) if tokens is None else (tokens, since, {})
         if attempt == 0:  # what was served too long ago to try again is forgotten
             done = {r: t for r, t in done.items() if t + wait * TOKEN_TRIES >= us}
-        if request in done:
-            return (held, last, done), False
-        if us > last:
-            held, last = min(rate.capacity, held + (us - last) / 1e6 * rate.refill_per_second), us
-        if held < 1:
-            return (held, last, done), False
-        done[request] = us
-        return (held - 1, last, done), True
+        if request not in done:
+            if us > last:
+                held, last = min(float(rate.capacity), held + (us - last) / 1e6 * rate.refill_per_second), us
+            if held >= 1:
+                done[request] = us
+                return (held - 1, last, done), [1.0, held - 1]
+        return (held, last, done), [0.0, held]
 
     tries = F.explode(F.sequence(F.lit(0), F.lit(TOKEN_TRIES - 1))).alias("_try")
     rows = requests.select("service", "request_id", F.unix_micros(F.col(time).cast("timestamp")).alias("_us"), tries).withColumn("_us", F.col("_us") + F.col("_try") * wait)
-    out = ordered_fold(rows, ["service"], ["_us", "_try", "request_id"], lambda: None, step, ["service", "_us", "request_id", "_try"], "_got boolean")
-    won = out.groupBy("request_id").agg(F.min(F.when(F.col("_got"), F.col("_try"))).alias("_won"))
-    return requests.join(won.select("request_id", F.col("_won").isNotNull().alias("allowed"), F.coalesce(F.col("_won") + 1, F.lit(TOKEN_TRIES)).alias("tries")), "request_id")
+    if levels is None:
+        rows = rows.withColumn("_tokens", F.lit(None).cast("double")).withColumn("_since", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(levels.select("service", F.col("tokens").alias("_tokens"), F.col("us").alias("_since")), "service", "left")
+    out = ordered_fold(rows, ["service"], ["_us", "_try", "request_id"], lambda: None, step, ["service", "_us", "request_id", "_try", "_tokens", "_since"], "_got array<double>")
+    won = out.groupBy("request_id").agg(F.min(F.when(F.col("_got")[0] > 0, F.col("_try"))).alias("_won"), F.max_by(F.col("_got")[1], "_try").alias("tokens"), F.max("_us").alias("us"))
+    return requests.join(won.select("request_id", F.col("_won").isNotNull().alias("allowed"), F.coalesce(F.col("_won") + 1, F.lit(TOKEN_TRIES)).alias("tries"), "tokens", "us"), "request_id")
+
+
+def levels_after(acquired: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """service, tokens, us: what the buckets hold after the requests of acquire(); services without any keep theirs."""
+    rows = acquired.select("service", "tokens", "us", "request_id")
+    if before is not None:
+        rows = rows.unionByName(before.select("service", "tokens", "us", F.lit("").alias("request_id")))
+    last = rows.groupBy("service").agg(F.max_by("tokens", F.struct("us", "request_id")).alias("tokens"), F.max("us").alias("us"))
+    return last
 
 
 def backoff_ms(attempt: Column, retry: Retry, seed: int | None = None) -> Column:

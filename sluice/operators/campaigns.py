@@ -21,10 +21,47 @@ def campaign_table(spark: SparkSession, campaigns: Iterable[Campaign]) -> DataFr
         if bad := [a.type for a in c.actions if a.type is not None and a.type not in ACTION_TYPES]:
             raise ValueError(f"campaign {c.id} has unknown action types {bad}")
         time = lambda t: datetime.fromisoformat(t) if t else None
-        rows.append((c.id, c.trigger, c.status, c.budget, c.currency, c.delay_ms, c.max_per_user, c.user_window_ms, time(c.start), time(c.end), dict(c.variants), [(a.type, a.service, a.params) for a in c.actions]))
+        rows.append((c.id, c.trigger, c.status, c.budget, c.currency, c.delay_ms, c.max_per_user, c.user_window_ms, time(c.start), time(c.end), dict(c.variants), [(a.type, a.service, a.params) for a in c.actions], c.budget_epoch))
     return spark.createDataFrame(rows, CAMPAIGNS)
 
 
+class Registry:
+    """Campaigns by id on the driver. What plans read is a snapshot, which later changes don't touch."""
+
+    def __init__(self, campaigns: Iterable[Campaign] = ()):
+        self._held: dict[str, Campaign] = {}
+        self.reload(campaigns)
+
+    def register(self, campaign: Campaign) -> None:
+        """Adds a campaign, or replaces the one of its id."""
+        self._held = {**self._held, campaign.id: campaign}
+
+    def replace_budget(self, campaign_id: str, budget: int) -> None:
+        """Gives a campaign a new budget, of which nothing is spent yet."""
+        from dataclasses import replace
+
+        old = self.get(campaign_id)
+        self.register(replace(old, budget=budget, budget_epoch=old.budget_epoch + 1))
+
+    def reload(self, campaigns: Iterable[Campaign]) -> None:
+        """Replaces all campaigns; of several with one id the last stays."""
+        self._held = {c.id: c for c in campaigns}
+
+    def get(self, campaign_id: str) -> Campaign:
+        if campaign_id not in self._held:
+            raise KeyError(f"no campaign {campaign_id}")
+        return self._held[campaign_id]
+
+    def active(self) -> tuple[Campaign, ...]:
+        return tuple(c for c in self._held.values() if c.status == "ACTIVE")
+
+    def snapshot(self) -> tuple[Campaign, ...]:
+        return tuple(self._held.values())
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+
 def active_index(campaigns: DataFrame) -> DataFrame:
     """What events are looked up in: the active campaigns."""
     return campaigns.filter(F.col("status") == "ACTIVE")

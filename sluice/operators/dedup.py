@@ -1,4 +1,4 @@
-"""Event deduplication in batch: first occurrences, time-limited windows, status against a store of seen keys."""
+"""Event deduplication: first occurrences, time-limited windows, status against a store of seen keys."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from .fold import ordered_fold
 
 KEY = ["event_id", "event_type"]
 NEW, CACHED, PERSISTENT = "NEW_EVENT", "DUPLICATE_CACHED", "DUPLICATE_PERSISTENT"
+#: An occurrence without a time counts as the earliest.
+_EARLIEST = -(2**62)
 
 
 def first_occurrences(events: DataFrame, order: tuple[str, ...] = ("ts",)) -> DataFrame:
@@ -21,17 +23,56 @@ def first_occurrences(events: DataFrame, order: tuple[str, ...] = ("ts",)) -> Da
 def within_ttl(events: DataFrame, ttl_ms: int, time: str = "ts", order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """events with accepted: whether no accepted occurrence of the key lies within the time to live before.
 
-    The window is set when an occurrence is accepted and repeats don't extend it.
+    The window is set when an occurrence is accepted and repeats don't extend it. An occurrence without a time counts
+    as the earliest.
     """
     ms = events.withColumn("_ms", F.unix_millis(F.col(time).cast("timestamp")))
 
     def step(until, row):
-        now = row[0]
+        now = _EARLIEST if row[0] is None else row[0]
         return (until, False) if until is not None and now <= until else (now + ttl_ms, True)
 
     return ordered_fold(ms, KEY, list(order), lambda: None, step, ["_ms"], "accepted boolean").drop("_ms")
 
 
+def composed(events: DataFrame, ttl_ms: int, history: DataFrame | None = None, fired: DataFrame | None = None) -> DataFrame:
+    """events with occurrence (its number among the key's, by time) and dedup_status, by windows and fired actions together.
+
+    An occurrence is a duplicate if an accepted one of its key lies within the time to live before it (cached), or if any
+    accepted one before it has fired an action (persistent). history (KEY, until_ms, fired) is what earlier rows leave;
+    fired (KEY, occurrence) names the rows among these that fire if they are accepted. Only keys that occur more than
+    once pass through a fold.
+    """
+    w = W.Window.partitionBy(*KEY)
+    rows = events.withColumn("occurrence", F.row_number().over(w.orderBy("ts"))).withColumn("_of", F.count(F.lit(1)).over(w)).withColumn("_ms", F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(_EARLIEST)))
+    if history is None:
+        rows = rows.withColumn("_until", F.lit(None).cast("long")).withColumn("_fired", F.lit(False))
+    else:
+        held = history.groupBy(*KEY).agg(F.max("until_ms").alias("_until"), F.bool_or("fired").alias("_fired"))
+        rows = rows.join(held, KEY, "left").withColumn("_fired", F.coalesce("_fired", F.lit(False)))
+    once = F.when(F.col("_ms") <= F.col("_until"), CACHED).when(F.col("_fired"), PERSISTENT).otherwise(NEW)
+    alone = rows.filter("_of = 1").withColumn("dedup_status", once)
+    several = rows.filter("_of > 1")
+    if fired is None:
+        several = several.withColumn("_fires", F.lit(False))
+    else:
+        several = several.join(fired.select(*KEY, "occurrence").distinct().withColumn("_fires", F.lit(True)), [*KEY, "occurrence"], "left").withColumn("_fires", F.coalesce("_fires", F.lit(False)))
+
+    def step(state, row):
+        now, until, has_fired, fires = row
+        if state is not None:
+            until, has_fired = state
+        if until is not None and now <= until:
+            return (until, has_fired), CACHED
+        if has_fired:
+            return (until, True), PERSISTENT
+        return (now + ttl_ms, fires), NEW
+
+    folded = ordered_fold(several, KEY, ["occurrence"], lambda: None, step, ["_ms", "_until", "_fired", "_fires"], "dedup_status string")
+    columns = [*events.columns, "occurrence", "dedup_status"]
+    return alone.select(*columns).unionByName(folded.select(*columns))
+
+
 def with_status(events: DataFrame, store: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
     """events with dedup_status: a repeat within the batch is cached, a key of the durable store is persistent, else new.
 

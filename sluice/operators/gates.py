@@ -38,16 +38,14 @@ def _first(rows: DataFrame, w: W.WindowSpec, most: int | None) -> DataFrame:
 
 
 def user_limit_in_window(rows: DataFrame) -> DataFrame:
-    """rows with recent: how many of the campaign and user lie in the window before each, itself included (an extension)."""
-    w = W.Window.partitionBy("campaign_id", "user_id").orderBy(F.unix_millis("ts"))
-    # the frame's length must be a constant, so each length gets its own window
-    lengths = [r[0] for r in rows.select("user_window_ms").distinct().limit(1001).collect()]
-    if len(lengths) > 1000:
-        raise ValueError("more than 1000 different window lengths")
-    recent = F.lit(None).cast("long")
-    for ms in lengths:
-        recent = F.when(F.col("user_window_ms") == ms, F.count(F.lit(1)).over(w.rangeBetween(-ms, 0))).otherwise(recent)
-    return rows.withColumn("recent", recent)
+    """rows with recent: how many of the campaign, user and window lie in the window before each, itself included (an extension).
+
+    A frame's length must be a constant, so time is counted in windows: one frame serves campaigns of any windows. Half
+    a millisecond more than the window keeps its bound between two times. Without a window recent is null.
+    """
+    times = F.unix_millis("ts") / (F.col("user_window_ms") + F.lit(0.5))
+    w = W.Window.partitionBy("campaign_id", "user_id", "user_window_ms").orderBy(times).rangeBetween(-1, 0)
+    return rows.withColumn("recent", F.when(F.col("user_window_ms").isNotNull(), F.count(F.lit(1)).over(w)))
 
 
 def user_counts(rows: DataFrame) -> DataFrame:
@@ -93,20 +91,28 @@ def consume(requests: DataFrame, budgets: DataFrame, order: tuple[str, ...] = ("
     """requests (campaign_id, amount, ...) with granted, for any amounts in turn.
 
     An unknown campaign grants nothing; one above the high mark grants all and keeps its budget; others grant what the
-    rest still covers, and a refused request leaves it as it is.
+    rest still covers, and a refused request, or one without an amount, leaves it as it is. Budgets with the columns of
+    order take effect at their place and replace what is left; others hold from the start.
     """
-    rows = requests.join(budgets.select("campaign_id", "budget"), "campaign_id", "left")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in requests.schema.fields]
+    from_start = not set(order) <= set(budgets.columns)
+    given = {"campaign_id": F.col("campaign_id"), **({} if from_start else {c: F.col(c) for c in order})}
+    resets = budgets.select(*[given[f.name].cast(f.dataType).alias(f.name) if f.name in given else x for f, x in zip(requests.schema.fields, nothing, strict=True)], F.col("budget").cast("long").alias("_budget"), F.lit(0 if from_start else 1).alias("_turn"))
+    rows = requests.select(*requests.columns, F.lit(None).cast("long").alias("_budget"), F.lit(2).alias("_turn")).unionByName(resets)
 
     def step(left, row):
-        amount, budget = row
-        if budget != budget or budget is None:
+        amount, budget, turn = row
+        if turn < 2:
+            return budget, False
+        if left is None or amount is None:
             return left, False
-        left = budget if left is None else left
         if left > HIGH_BUDGET:
             return left, True
         return (left - amount, True) if left >= amount else (left, False)
 
-    return ordered_fold(rows, ["campaign_id"], list(order), lambda: None, step, ["amount", "budget"], "granted boolean").drop("budget")
+    ordered = ["_first", *order, "_turn"]
+    out = ordered_fold(rows.withColumn("_first", F.col("_turn") > 0), ["campaign_id"], ordered, lambda: None, step, ["amount", "_budget", "_turn"], "granted boolean")
+    return out.filter("_turn = 2").select(*requests.columns, "granted")
 
 
 def remaining(budgets: DataFrame, triggered: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.fields import Fields, event_fields
@@ -13,25 +13,41 @@ from ..model import HIGH_BUDGET, UNLIMITED_ACTIONS, Campaign, Settings
 from ..plans.rulecompile import compile_campaign_rules
 from . import abtest, actions, campaigns, dedup, gates
 
+#: The seven counters, by the rows that they are taken from.
+EVENT_COUNTS = ("events_received", "events_processed", "duplicates_filtered")
+RULE_COUNTS = ("rules_evaluated", "rules_matched", "actions_triggered", "actions_failed")
+
+
+def event_counts() -> list[Column]:
+    is_new = F.col("dedup_status") == dedup.NEW
+    return [c.alias(n) for n, c in zip(EVENT_COUNTS, (F.count(F.lit(1)), F.count_if(is_new), F.count_if(~is_new)), strict=True)]
+
+
+def rule_counts() -> list[Column]:
+    """Triggered counts the actions of triggered rows that can be submitted, failed the others: those without a type or service."""
+    whole, sent = F.coalesce(F.size("actions"), F.lit(0)), F.coalesce(F.size(F.filter("actions", actions.submittable)), F.lit(0))
+    total = lambda n: F.coalesce(F.sum(F.when(F.col("triggered"), n)), F.lit(0)).cast("long")
+    return [c.alias(n) for n, c in zip(RULE_COUNTS, (F.count(F.lit(1)), F.count_if("triggered"), total(sent), total(whole - sent)), strict=True)]
+
 
 @dataclass(frozen=True)
 class Run:
-    """events: all rows with dedup_status. evaluated: rows that reached a rule. requests: the actions asked for."""
+    """events: all rows with dedup_status. evaluated: rows that reached a rule. requests: the actions asked for. counts: counters taken while the stages were written."""
 
     events: DataFrame
     evaluated: DataFrame
     requests: DataFrame
     new: DataFrame
+    counts: dict | None = None
 
     def metrics(self) -> DataFrame:
         """One row of seven counters. Failed counts requests that can't be submitted."""
-        e = self.events.agg(F.count(F.lit(1)).alias("events_received"), F.count_if(F.col("dedup_status") == dedup.NEW).alias("events_processed"), F.count_if(F.col("dedup_status") != dedup.NEW).alias("duplicates_filtered"))
-        sent = F.col("triggered").cast("int") * F.coalesce(F.size("actions"), F.lit(0))
-        r = self.evaluated.agg(F.count(F.lit(1)).alias("rules_evaluated"), F.count_if("triggered").alias("rules_matched"), F.coalesce(F.sum(sent), F.lit(0)).cast("long").alias("actions_triggered"), F.lit(0).cast("long").alias("actions_failed"))
-        return e.crossJoin(r)  # one row each
+        if self.counts is not None:
+            return self.events.sparkSession.createDataFrame([tuple(self.counts[n] for n in (*EVENT_COUNTS, *RULE_COUNTS))], ", ".join(f"{n} long" for n in (*EVENT_COUNTS, *RULE_COUNTS)))
+        return self.events.agg(*event_counts()).crossJoin(self.evaluated.agg(*rule_counts()))  # one row each
 
 
-def evaluate(new: DataFrame, own: Sequence[Campaign], fields: Fields | None = None, settings: Settings = Settings(), order: tuple[str, ...] = gates.ORDER, used: bool = False) -> DataFrame:
+def evaluate(new: DataFrame, own: Sequence[Campaign], fields: Fields | None = None, settings: Settings = Settings(), order: tuple[str, ...] = gates.ORDER) -> DataFrame:
     """Rows of new events and campaigns that pass the gates and reach the rule: with matched, triggered, rule_error, variant.
 
     Order of the gates: status and time, budget, user limit, rule; the limit counts evaluations, the budget matches.
@@ -64,20 +80,54 @@ def variant_by_campaign(own: Sequence[Campaign], user: Column) -> Column:
     return out
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, path: str, counts: list[Column] | None = None) -> tuple[DataFrame, dict]:
+    """df written to a folder and read back, and the counts that ride along with the writing."""
+    seen = Observation()
+    (df.observe(seen, *counts) if counts else df).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if counts else {}
+
 
+def settled(events: DataFrame, ttl_ms: int, evaluate_new: Callable[[DataFrame], DataFrame], path: Callable[[str], str], history: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """Marked events, evaluated rows and counts, in which an occurrence is a duplicate by dedup.composed().
 
-def run(events: DataFrame, own: Sequence[Campaign], fields: Fields | None = None, settings: Settings = Settings(), store: DataFrame | None = None, order: tuple[str, ...] = gates.ORDER, stage: str | None = None) -> Run:
-    """Events (as model.EVENTS, payload a variant) through everything. Duplicates never expire within a run.
+    Whether an occurrence fires depends on the gates, and whether a later one of its key passes on that. Where a key is
+    accepted more than once the two are repeated until the marks stay; each turn settles at least the earliest row that
+    was wrong, and one turn is enough where no key returns after its window.
+    """
+    fired, before = None, None
+    while True:
+        marked, counts = written(dedup.composed(events, ttl_ms, history, fired), path("events"), [*event_counts(), F.sum(F.xxhash64(*dedup.KEY, "occurrence", "dedup_status").cast("decimal(20,0)")).alias("mark")])
+        new = marked.filter(F.col("dedup_status") == dedup.NEW)
+        evaluated, more = written(evaluate_new(new), path("evaluated"), rule_counts())
+        mark = counts.pop("mark")
+        if mark == before or (before is None and new.groupBy(*dedup.KEY).count().filter("count > 1").isEmpty()):
+            return marked, evaluated, counts | more
+        fired, before = fired_by(evaluated).select(*dedup.KEY, "occurrence"), mark
+
+
+def fired_by(evaluated: DataFrame) -> DataFrame:
+    """The evaluated rows that fired an action: triggered ones with an action that can be submitted."""
+    return evaluated.filter("triggered").filter(F.exists("actions", actions.submittable))
+
+
+def run(events: DataFrame, own: Sequence[Campaign], fields: Fields | None = None, settings: Settings = Settings(), store: DataFrame | None = None, order: tuple[str, ...] = gates.ORDER, stage: str | None = None, ttl_ms: int | None = None) -> Run:
+    """Events (as model.EVENTS, payload a variant) through everything. Without ttl_ms duplicates never expire within a run.
 
     stage: a shared folder in which marked events and evaluated rows are written once, where several results are read
-    from one run; each result computes them anew else.
+    from one run; each result computes them anew else. With ttl_ms (which needs a stage) an event is a duplicate if an
+    accepted one of its key lies within that time before it, or if any accepted one before it has fired an action; store
+    (KEY, until_ms, fired) is what earlier runs leave.
     """
-    keep = (lambda df, name: df) if stage is None else lambda df, name: _written(df, f"{stage}/{name}")
-    marked = keep(dedup.with_status(events, store), "events")
-    new = marked.filter(F.col("dedup_status") == dedup.NEW)
-    evaluated = keep(evaluate(new, own, fields, settings, order), "evaluated")
+    if ttl_ms is not None:
+        if stage is None:
+            raise ValueError("a time to live needs a stage")
+        marked, evaluated, counts = settled(events, ttl_ms, lambda new: evaluate(new, own, fields, settings, order), lambda name: f"{stage}/{name}", store)
+    elif stage is not None:
+        marked, counts = written(dedup.with_status(events, store), f"{stage}/events", event_counts())
+        evaluated, more = written(evaluate(marked.filter(F.col("dedup_status") == dedup.NEW), own, fields, settings, order), f"{stage}/evaluated", rule_counts())
+        counts |= more
+    else:
+        marked, counts = dedup.with_status(events, store), None
+        evaluated = evaluate(marked.filter(F.col("dedup_status") == dedup.NEW), own, fields, settings, order)
     requests = actions.fan_out(evaluated.filter("triggered"))
-    return Run(marked, evaluated, requests, new)
+    return Run(marked, evaluated, requests, marked.filter(F.col("dedup_status") == dedup.NEW), counts)

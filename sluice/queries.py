@@ -51,6 +51,11 @@ def query(sql: str | None = None):
     return keep
 
 
+def also(name: str, other: str) -> None:
+    """Registers a query under a second name."""
+    QUERIES[f"q_{other}"], ORACLES[f"q_{other}"] = QUERIES[f"q_{name}"], ORACLES[f"q_{name}"]
+
+
 def _doubled(ev: DataFrame) -> DataFrame:
     """Events of which every third comes again, a second later."""
     again = ev.filter("event_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 SECOND"))
@@ -81,6 +86,17 @@ def json_roundtrip(spark, sf_dir):
     return t.select("event_id", jsoncols.serialize(jsoncols.parse(text)).alias("text"), jsoncols.corrupt(text).alias("bad"))
 
 
+@query(f"""WITH {_EV} SELECT event_id, event_id AS last_key, NULL::BIGINT AS goes_on, NULL::BIGINT AS closes_early, k AS leading_zeros, 'a' || chr(9) || k AS raw_control, NULL::BIGINT AS single_quotes, k AS spaces FROM ev""")
+def json_edge(spark, sf_dir):
+    k, n = F.col("k").cast("string"), F.col("event_id").cast("string")
+    text = {
+        "last_key": F.concat(F.lit('{"v":'), k, F.lit(',"v":'), n, F.lit("}")), "goes_on": F.concat(F.lit('{"v":'), k, F.lit("} x")), "closes_early": F.concat(F.lit('{"v":'), k, F.lit('}}, {"v":1}')),
+        "leading_zeros": F.concat(F.lit('{"v":00'), k, F.lit("}")), "raw_control": F.concat(F.lit('{"v":"a\t'), k, F.lit('"}')), "single_quotes": F.concat(F.lit("{'v':"), k, F.lit("}")), "spaces": F.concat(F.lit(' \n{"v" :\t'), k, F.lit("\r}\n")),
+    }
+    kind = lambda name: "string" if name == "raw_control" else "bigint"
+    return from_table(spark, sf_dir).select("event_id", *[F.try_variant_get(jsoncols.parse(t), "$.v", kind(name)).alias(name) for name, t in text.items()])
+
+
 @query(f"""WITH {_EV} SELECT event_id, CAST(k AS VARCHAR) AS plain_payload, 'gold' AS plain_enriched, CAST(k AS VARCHAR) AS payload_path, 'gold' AS enriched_path, 'gold' AS external_path,
   event_type, CAST(user_id AS VARCHAR) AS user_id, CAST(NULL AS VARCHAR) AS unknown_event, CAST(NULL AS VARCHAR) AS unknown_prefix, CAST(NULL AS VARCHAR) AS null_payload_key FROM ev""")
 def field_resolution(spark, sf_dir):
@@ -177,18 +193,14 @@ def _within_half_an_hour(ev):
     return dedup.within_ttl(ev, 30 * 60_000).select("event_id", "offset_min", "accepted")
 
 
-@query("""WITH o(m) AS (VALUES (0), (10), (25), (29), (31), (60)), t AS (SELECT event_id, event_type, m FROM events, o WHERE event_id % 10 = 0),
+@query("""WITH o(m) AS (VALUES (0), (10), (25), (29), (31), (60)), t AS (SELECT event_id, event_type, m FROM events, o),
 l AS (SELECT event_id, event_type, list_reduce(list([m] ORDER BY m), lambda a, b: CASE WHEN b[1] <= a[-1] + 30 THEN a ELSE list_concat(a, b) END) AS ok FROM t GROUP BY ALL)
 SELECT t.event_id, t.m AS offset_min, list_contains(ok, t.m) AS accepted FROM t JOIN l USING (event_id)""")
 def dedup_ttl(spark, sf_dir):
-    return _within_half_an_hour(from_table(spark, sf_dir).filter("event_id % 10 = 0"))
+    return _within_half_an_hour(from_table(spark, sf_dir))
 
 
-@query("""WITH o(m) AS (VALUES (0), (10), (25), (29), (31), (60)), t AS (SELECT event_id, event_type, m FROM events, o),
-l AS (SELECT event_id, event_type, list_reduce(list([m] ORDER BY m), lambda a, b: CASE WHEN b[1] <= a[-1] + 30 THEN a ELSE list_concat(a, b) END) AS ok FROM t GROUP BY ALL)
-SELECT t.event_id, t.m AS offset_min, list_contains(ok, t.m) AS accepted FROM t JOIN l USING (event_id)""")
-def dedup_ttl_all(spark, sf_dir):
-    return _within_half_an_hour(from_table(spark, sf_dir))
+also("dedup_ttl", "dedup_ttl_all")
 
 
 @query(f"""{_DOUBLED}, s AS (SELECT *, row_number() OVER (PARTITION BY event_id, event_type ORDER BY ts) AS n FROM d)
@@ -235,13 +247,43 @@ def bloom_fpr(spark, sf_dir):
 @query("SELECT 0 AS false_negatives, true AS rate_holds, sum((event_id % 2)::INT)::BIGINT AS probed FROM events")
 def bloom_prefilter(spark, sf_dir):
     ev = from_table(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "event_type", (F.col("event_id") % 2).alias("odd"))
-    own = bloom.build(ev.filter("odd = 0"), 1000, 0.01)
-    own = bloom.build(ev.filter("odd = 0"), max(own.inserted, 1), 0.01)
+    evens = ev.filter("odd = 0")
+    own = bloom.build(evens, max(evens.count(), 1), 0.01)
     found = own.might_contain(ev)
     rate = F.count_if((F.col("odd") == 1) & F.col("might_contain")) / F.greatest(F.count_if(F.col("odd") == 1), F.lit(1))
     return found.agg(F.count_if((F.col("odd") == 0) & ~F.col("might_contain")).alias("false_negatives"), (rate < 0.03).alias("rate_holds"), F.count_if(F.col("odd") == 1).alias("probed"))
 
 
+def _murmur_sql(seed: int) -> str:
+    """32-bit murmur3 of the list of bytes b, as an unsigned number."""
+    times = lambda x, k: f"((({x})::HUGEINT * {k}) % 4294967296)::BIGINT"
+    turned = lambda x, k: f"(((({x})::BIGINT << {k}) | (({x})::BIGINT >> {32 - k})) & 4294967295)"
+    mixed = lambda x: times(turned(times(x, 3432918353), 15), 461845907)
+    block = "b[4 * j + 1] + b[4 * j + 2] * 256 + b[4 * j + 3] * 65536 + b[4 * j + 4] * 16777216"
+    blocks = f"list_reduce(list_prepend({seed}::BIGINT, list_transform(range(len(b) // 4), lambda j: {mixed(block)})), lambda h, k: ({turned('xor(h, k)', 13)} * 5 + 3864292196) % 4294967296)"
+    tail = "list_sum(list_transform(range(len(b) % 4), lambda j: b[4 * (len(b) // 4) + j + 1] << (8 * j)))"
+    h = f"xor({blocks}, CASE WHEN len(b) % 4 > 0 THEN {mixed(f'coalesce({tail}, 0)')} ELSE 0 END)"
+    h = f"xor({h}, len(b))"
+    for shift, k in ((16, 2246822507), (13, 3266489909)):
+        h = f"list_transform([{h}], lambda x: {times(f'xor(x, x >> {shift})', k)})[1]"
+    return f"list_transform([{h}], lambda x: xor(x, x >> 16))[1]"
+
+
+@query(f"""WITH n AS (SELECT count(*) FILTER (event_id % 2 = 0) AS n FROM events), p AS (SELECT greatest(1, ceil(-(n // 4) * ln(0.05) / power(ln(2.0), 2)))::BIGINT AS bits, n // 4 AS want FROM n),
+z AS (SELECT bits, greatest(1, floor(bits / want * ln(2.0) + 0.5))::INT AS hashes FROM p),
+k AS (SELECT event_id, event_type, list_transform(string_split(event_id || ':' || event_type, ''), lambda c: ord(c)::BIGINT) AS b FROM events),
+h AS (SELECT event_id, event_type, {_murmur_sql(hashing.SEEDS[0])} AS h1, {_murmur_sql(hashing.SEEDS[1])} AS h2 FROM k),
+a AS (SELECT event_id, list_transform(range(hashes), lambda i: (h1 + i * h2) % 4294967296) AS w, bits FROM h, z),
+s AS (SELECT event_id, list_transform(w, lambda x: ((CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END) % bits + bits) % bits) AS places FROM a),
+held AS (SELECT list(DISTINCT x) AS all_places FROM (SELECT unnest(places) AS x FROM s WHERE event_id % 2 = 0))
+SELECT event_id, list_has_all(all_places, places) AS might_contain FROM s, held""")
+def bloom_members(spark, sf_dir):
+    ev = from_table(spark, sf_dir).select(F.col("event_id").cast("string").alias("event_id"), "event_type", F.col("event_id").alias("n"))
+    evens = ev.filter("n % 2 = 0")
+    own = bloom.build(evens, max(evens.count() // 4, 1), 0.05)  # four times as many as it is made for, so that it errs often
+    return own.might_contain(ev).select(F.col("n").alias("event_id"), "might_contain")
+
+
 # --- gates
 
 
@@ -282,6 +324,19 @@ def budget_amounts(spark, sf_dir):
     return gates.consume(asked, budgets).groupBy("campaign_id").agg(F.count_if("granted").alias("granted"))
 
 
+@query(f"""WITH {_EV}, b(campaign_id, budget, seq) AS (SELECT * FROM (VALUES ('click', 5000, 0), ('purchase', 100000, 0)) t UNION ALL SELECT 'click', 700, max(event_id) // 2 FROM events),
+r AS (SELECT campaign_id, seq, 0 AS turn, {{'bal': budget, 'n': 0, 'reset': true}} AS x FROM b UNION ALL SELECT event_type, event_id, 1, {{'bal': k, 'n': 1, 'reset': false}} FROM ev),
+l AS (SELECT campaign_id, list(x ORDER BY seq, turn) AS l FROM r GROUP BY campaign_id),
+f AS (SELECT campaign_id, list_reduce(list_prepend({{'bal': -1, 'n': 0, 'reset': false}}, l), lambda a, x: CASE WHEN x.reset THEN {{'bal': x.bal, 'n': a.n, 'reset': false}} WHEN a.bal >= x.bal THEN {{'bal': a.bal - x.bal, 'n': a.n + 1, 'reset': false}} ELSE a END) AS s FROM l)
+SELECT campaign_id, s.n::BIGINT AS granted FROM f""")
+def budget_replaced(spark, sf_dir):
+    ev = from_table(spark, sf_dir)
+    asked = ev.select(F.col("event_type").alias("campaign_id"), F.col("k").alias("amount"), F.col("event_id").alias("seq"))
+    budgets = spark.createDataFrame([("click", 5000, 0), ("purchase", 100_000, 0)], "campaign_id string, budget long, seq long")
+    again = ev.agg(F.lit("click").alias("campaign_id"), F.lit(700).cast("long").alias("budget"), F.expr("max(event_id) div 2").alias("seq"))
+    return gates.consume(asked, budgets.unionByName(again)).groupBy("campaign_id").agg(F.count_if("granted").alias("granted"))
+
+
 @query(f"WITH {_GATED} SELECT campaign_id, count(*) AS evaluated, count(*) FILTER (m) AS matched FROM e GROUP BY campaign_id")
 def gates_combined(spark, sf_dir):
     rows = pipeline.evaluate(from_table(spark, sf_dir), GATED, table_fields())
@@ -349,24 +404,17 @@ def _allowed_by_type(ev):
     return actions.rate_limited(rows, {"click": Rate(5, 0.001)}).groupBy("service").agg(F.count_if("allowed").alias("allowed"))
 
 
-@query("""WITH e AS (SELECT event_type, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 5 ELSE 100 END AS cap, CASE WHEN event_type = 'click' THEN 0.001 ELSE 10.0 END AS rate FROM events WHERE event_type IN ('click', 'view')),
+@query("""WITH e AS (SELECT event_type, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 5 ELSE 100 END AS cap, CASE WHEN event_type = 'click' THEN 0.001 ELSE 10.0 END AS rate FROM events),
 l AS (SELECT event_type, cap, rate, list({'tok': cap::DOUBLE, 'us': us, 'ok': 1} ORDER BY us, event_id) AS l FROM e GROUP BY ALL),
 p AS (SELECT *, {'tok': cap - 1.0, 'us': l[1].us, 'ok': 1} AS first FROM l),
 f AS (SELECT event_type, list_reduce(list_prepend(first, l[2:]), lambda a, x: CASE WHEN least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate) >= 1
   THEN {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate) - 1, 'us': greatest(a.us, x.us), 'ok': a.ok + 1} ELSE {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate), 'us': greatest(a.us, x.us), 'ok': a.ok} END) AS s FROM p)
 SELECT event_type AS service, s.ok::BIGINT AS allowed FROM f""")
 def token_bucket(spark, sf_dir):
-    return _allowed_by_type(from_table(spark, sf_dir).filter("event_type IN ('click', 'view')"))
+    return _allowed_by_type(from_table(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT event_type, event_id, epoch_us(ts) AS us, CASE WHEN event_type = 'click' THEN 5 ELSE 100 END AS cap, CASE WHEN event_type = 'click' THEN 0.001 ELSE 10.0 END AS rate FROM events),
-l AS (SELECT event_type, cap, rate, list({'tok': cap::DOUBLE, 'us': us, 'ok': 1} ORDER BY us, event_id) AS l FROM e GROUP BY ALL),
-p AS (SELECT *, {'tok': cap - 1.0, 'us': l[1].us, 'ok': 1} AS first FROM l),
-f AS (SELECT event_type, list_reduce(list_prepend(first, l[2:]), lambda a, x: CASE WHEN least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate) >= 1
-  THEN {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate) - 1, 'us': greatest(a.us, x.us), 'ok': a.ok + 1} ELSE {'tok': least(cap, a.tok + greatest(x.us - a.us, 0) / 1e6 * rate), 'us': greatest(a.us, x.us), 'ok': a.ok} END) AS s FROM p)
-SELECT event_type AS service, s.ok::BIGINT AS allowed FROM f""")
-def token_bucket_all(spark, sf_dir):
-    return _allowed_by_type(from_table(spark, sf_dir))
+also("token_bucket", "token_bucket_all")
 
 
 def _tried_at_once(ev):
@@ -376,14 +424,12 @@ def _tried_at_once(ev):
     return out.groupBy("service").agg(F.count_if(F.col("allowed") & (F.col("tries") == 1)).alias("first_try"), F.count_if(~F.col("allowed")).alias("refused"))
 
 
-@query("""SELECT 'a' AS service, count(*) FILTER (n <= 20) AS first_try, count(*) FILTER (n > 20) AS refused FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 2 = 0)""")
+@query("""SELECT 'a' AS service, count(*) FILTER (n <= 20) AS first_try, count(*) FILTER (n > 20) AS refused FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events)""")
 def token_tries(spark, sf_dir):
-    return _tried_at_once(from_table(spark, sf_dir).filter("event_id % 2 = 0"))
+    return _tried_at_once(from_table(spark, sf_dir))
 
 
-@query("""SELECT 'a' AS service, count(*) FILTER (n <= 20) AS first_try, count(*) FILTER (n > 20) AS refused FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events)""")
-def token_tries_all(spark, sf_dir):
-    return _tried_at_once(from_table(spark, sf_dir))
+also("token_tries", "token_tries_all")
 
 
 @query("""SELECT event_id, (event_id % 5) <= 3 AS success, least(event_id % 5, 3)::INT AS retry_count, CASE least(event_id % 5, 3) WHEN 0 THEN 0 WHEN 1 THEN 100 WHEN 2 THEN 300 ELSE 700 END::BIGINT AS waited_ms FROM events""")
@@ -465,11 +511,37 @@ def admission(spark, sf_dir):
 # --- whole pipeline
 
 
-@query(f"""WITH {_GATED}, {_ACTIONS}, n AS (SELECT campaign_id, count(*) AS n FROM a GROUP BY 1)
-SELECT (SELECT count(*) + count(*) FILTER (event_id % 3 = 0) FROM events) AS events_received, (SELECT count(*) FROM events) AS events_processed, (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS duplicates_filtered,
- count(*) AS rules_evaluated, count(*) FILTER (triggered) AS rules_matched, coalesce(sum(n) FILTER (triggered), 0)::BIGINT AS actions_triggered, 0 AS actions_failed FROM e LEFT JOIN n USING (campaign_id)""")
+#: The gated campaigns, and one of whose actions two can't be submitted.
+METERED = (*GATED, Campaign("c8", "error", RULE, actions=(Action(None, "svc"), Action("SEND_MESSAGE", " "), _NOTIFY[0])))
+_CM = _C.removesuffix(")") + ", ('c8', 'error', 9223372036854775807, 2147483647))"
+_SENT = "a(campaign_id, sent) AS (VALUES ('c1', true), ('c1', true), ('c2', true), ('c4', true), ('c5', true), ('c5', true), ('c8', true), ('c8', false), ('c8', false))"
+
+
+def _gates(name: str, source: str, order: str) -> str:
+    """The table expression {name} of rows of source that reach a rule, in an order of their own."""
+    return f"""{name}_g AS (SELECT *, row_number() OVER (PARTITION BY campaign_id, user_id ORDER BY {order}) AS rn FROM (SELECT s.*, c.*, k > 50 AND NOT value < 20 AS m FROM {source} s JOIN c ON event_type = trig WHERE budget > 0)),
+{name}_h AS (SELECT *, coalesce(sum(CASE WHEN m THEN 1 ELSE 0 END) OVER (PARTITION BY campaign_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM {name}_g WHERE rn <= max_user),
+{name} AS (SELECT *, m AS triggered FROM {name}_h WHERE budget > 100000 OR used < budget)"""
+
+
+_COUNTED = """(SELECT count(*) FROM e) AS rules_evaluated, (SELECT count(*) FROM e WHERE triggered) AS rules_matched,
+ (SELECT count(*) FROM e JOIN a USING (campaign_id) WHERE triggered AND sent) AS actions_triggered, (SELECT count(*) FROM e JOIN a USING (campaign_id) WHERE triggered AND NOT sent) AS actions_failed"""
+
+
+@query(f"""WITH {_EV}, {_CM}, {_SENT}, {_gates("e", "ev", "ts, event_id")}
+SELECT (SELECT count(*) + count(*) FILTER (event_id % 3 = 0) FROM events) AS events_received, (SELECT count(*) FROM events) AS events_processed, (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS duplicates_filtered, {_COUNTED}""")
 def pipeline_metrics(spark, sf_dir):
-    return pipeline.run(_doubled(from_table(spark, sf_dir)), GATED, table_fields(), stage=_shared(spark, "run")).metrics()
+    return pipeline.run(_doubled(from_table(spark, sf_dir)), METERED, table_fields(), stage=_shared(spark, "run")).metrics()
+
+
+@query(f"""WITH {_EV}, o(m) AS (VALUES (0), (10), (40), (80)), t AS (SELECT event_id, event_type, m, event_type = 'click' AND k > 50 AND NOT value < 20 AS fires FROM ev, o),
+l AS (SELECT event_id, any_value(fires) AS fires, list_reduce(list([m] ORDER BY m), lambda a, b: CASE WHEN b[1] <= a[-1] + 30 THEN a ELSE list_concat(a, b) END) AS ok FROM t GROUP BY event_id)
+SELECT t.event_id, t.m AS offset_min, CASE WHEN CASE WHEN t.fires THEN t.m = 0 ELSE list_contains(ok, t.m) END THEN 'NEW_EVENT' WHEN t.fires AND t.m > 30 THEN 'DUPLICATE_PERSISTENT' ELSE 'DUPLICATE_CACHED' END AS dedup_status FROM t JOIN l USING (event_id)""")
+def pipeline_ttl(spark, sf_dir):
+    ev = from_table(spark, sf_dir).withColumn("offset_min", F.explode(F.array(*map(F.lit, (0, 10, 40, 80)))))
+    ev = ev.withColumn("ts", F.timestamp_add("MINUTE", F.col("offset_min"), F.col("ts")))
+    own = (Campaign("c", "click", RULE, actions=_NOTIFY[:1]), Campaign("d", "view", RULE))
+    return pipeline.run(ev, own, table_fields(), stage=_shared(spark, "run"), ttl_ms=30 * 60_000).events.select("event_id", "offset_min", "dedup_status")
 
 
 @query(f"""WITH {_EV}, o AS (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1), x AS (SELECT ev.*, c_acctbal, spent FROM ev LEFT JOIN customer ON user_id = c_custkey LEFT JOIN o ON user_id = o_custkey)
@@ -508,12 +580,11 @@ def _shared(spark, name):
     return f"{base.rstrip('/')}/sluice-streams/{name}-{uuid.uuid4().hex}"
 
 
-def _as_stream(spark, rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a stream that brings them in order of event_id, a quarter a batch."""
+def _as_stream(spark, rows: DataFrame, name: str, batches: int) -> DataFrame:
+    """The rows as a stream that brings those of each number in the column arrival as one batch, in order."""
     path = _shared(spark, name)
-    last = rows.agg(F.max("event_id")).first()[0] or 0
-    for i in range(4):
-        rows.filter(F.expr(f"event_id * 4 div {last + 1} = {i}")).coalesce(1).write.mode("append").parquet(path)
+    for i in range(batches):
+        rows.filter(F.col("arrival") == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -530,12 +601,21 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "event_type")
 
 
-@query(f"""WITH {_GATED} SELECT (SELECT count(*) + count(*) FILTER (event_id % 3 = 0) FROM events) AS events_received, (SELECT count(*) FROM events) AS events_processed, (SELECT count(*) FROM events WHERE event_id % 3 = 0) AS duplicates_filtered,
- count(*) AS rules_evaluated, count(*) FILTER (triggered) AS rules_matched, (SELECT count(*) FROM e e2 JOIN (VALUES ('c1'), ('c1'), ('c2'), ('c4'), ('c5'), ('c5')) a(campaign_id) USING (campaign_id) WHERE triggered) AS actions_triggered FROM e""")
+@query(f"""WITH {_EV}, {_CM}, {_SENT}, base AS (SELECT *, 0 AS arrival FROM ev), {_gates("e0", "base", "arrival, ts, event_id")},
+fired AS (SELECT DISTINCT event_id FROM e0 JOIN a USING (campaign_id) WHERE triggered AND sent),
+again AS (SELECT event_id, ts + INTERVAL 10 MINUTE AS ts, user_id, event_type, value, k, 1 AS arrival FROM ev WHERE event_id % 5 = 0 AND event_id NOT IN (SELECT event_id FROM fired)),
+everything AS (SELECT * FROM base UNION ALL SELECT * FROM again), {_gates("e", "everything", "arrival, ts, event_id")}
+SELECT (SELECT count(*) + count(*) FILTER (event_id % 3 = 0) + count(*) FILTER (event_id % 5 = 0) FROM events) AS events_received, (SELECT count(*) FROM everything) AS events_processed,
+ (SELECT count(*) FILTER (event_id % 3 = 0) + count(*) FILTER (event_id % 5 = 0) - (SELECT count(*) FROM again) FROM events) AS duplicates_filtered, {_COUNTED}""")
 def stream_pipeline(spark, sf_dir):
+    """Every third event comes again after a second, in its batch, and every fifth after ten minutes, in the last: after its window, so that only those that fired are duplicates."""
     from .streaming.engine import Builder
 
-    stream = _as_stream(spark, _doubled(from_table(spark, sf_dir)), "in")
-    engine = Builder.defaults(spark).campaigns(GATED).fields(table_fields()).state(_shared(spark, "state")).build().start(stream, once=True)
+    ev = from_table(spark, sf_dir)
+    last = ev.agg(F.max("event_id")).first()[0] or 0
+    first = _doubled(ev).withColumn("arrival", F.expr(f"int(event_id * 4 div {last + 1})"))
+    again = ev.filter("event_id % 5 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES")).withColumn("arrival", F.lit(4))
+    stream = _as_stream(spark, first.unionByName(again), "in", 5)
+    engine = Builder.defaults(spark).campaigns(METERED).fields(table_fields()).state(_shared(spark, "state")).build().start(stream, once=True)
     engine.wait()
     return engine.metrics()

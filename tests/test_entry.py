@@ -1,5 +1,7 @@
 import importlib.util
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -15,6 +17,12 @@ def test_names_and_sql():
     assert entry._has_llm() == bool(importlib.util.find_spec("sluice.llm") and importlib.util.find_spec("corpus_pipeline"))
 
 
+def test_other_queries_work_where_a_library_is_missing():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); print(e._has_llm(), len(q), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(entry.__file__)), capture_output=True, text=True, check=True).stdout.split()
+    assert said == ["False", str(len(own.QUERIES)), str(len(own.ORACLES))]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_queries_equal_their_sql(spark):
     import duckdb
