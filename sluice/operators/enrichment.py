@@ -40,13 +40,23 @@ def staged_match(events: DataFrame, rule: Rule, fields: Fields, database: Callab
     return out
 
 
-def as_of(events: DataFrame, changes: DataFrame, on: str, time: str = "ts") -> DataFrame:
-    """events with the latest change of their key at or before their time: one sort by key and time over both."""
+def as_of(events: DataFrame, changes: DataFrame, on: str, time: str = "ts", span_s: int = 86_400) -> DataFrame:
+    """events with the latest change of their key at or before their time.
+
+    Both are dealt by key and span of time and sorted once; a span begins with the last change before it, which a window
+    over one row a key and span carries forward. So a key with most of the events is one task a span. Changes without a
+    time never apply, and events without one have none.
+    """
     from pyspark.sql import Window
 
     extra = [c for c in changes.columns if c not in (on, time)]
-    left = events.withColumn("_side", F.lit(1)).withColumn("_s", F.lit(None).cast(changes.select(F.struct(*extra).alias("s")).schema["s"].dataType))
-    right = changes.select(on, time, F.lit(0).alias("_side"), F.struct(*extra).alias("_s"))
-    w = Window.partitionBy(on).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w))
+    span = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / span_s).alias("_span")
+    right = changes.filter(F.col(time).isNotNull()).select(on, time, span, F.lit(0).alias("_side"), F.struct(*extra).alias("_s"))
+    left = events.select(*events.columns, span, F.lit(1).alias("_side"), F.lit(None).cast(right.schema["_s"].dataType).alias("_s"))
+    last = right.groupBy(on, "_span").agg(F.max_by("_s", time).alias("_s"))
+    spots = left.filter("_span IS NOT NULL").select(on, "_span").distinct().select(on, "_span", F.lit(None).cast(right.schema["_s"].dataType).alias("_s")).unionByName(last).groupBy(on, "_span").agg(F.first("_s", ignorenulls=True).alias("_s"))
+    before = Window.partitionBy(on).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spots.withColumn("_s", F.last("_s", ignorenulls=True).over(before)).filter("_s IS NOT NULL").select(on, F.lit(None).cast(right.schema[time].dataType).alias(time), "_span", F.lit(-1).alias("_side"), "_s")
+    w = Window.partitionBy(on, "_span").orderBy(F.col(time).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right.unionByName(carried), allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w))
     return both.filter("_side = 1").select(*events.columns, *[F.col(f"_s.{c}").alias(c) for c in extra])

@@ -388,6 +388,16 @@ def test_staged_enrichment_and_as_of(spark):
     assert {r["event_id"]: r["v"] for r in enrichment.as_of(ev, changes, "user_id").filter("user_id = 'u0'").collect()} == {"0": None, "3": "x", "6": "y"}
 
 
+def test_as_of_equals_brute_force_over_spans(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [(i, "hot" if i % 3 else f"k{i % 5}", at(i * 977 % 40_000)) for i in range(300)] + [(900, "hot", None)]
+    changes = [("hot" if j % 2 else f"k{j % 5}", at(j * 2311 % 40_000), j) for j in range(40)] + [("hot", None, -1)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp")
+    got = {r["event_id"]: r["v"] for r in enrichment.as_of(ev, spark.createDataFrame(changes, "user_id string, ts timestamp, v long"), "user_id", span_s=3600).collect()}
+    want = {i: max(((t, v) for k, t, v in changes if k == u and t is not None and when is not None and t <= when), default=(None, None))[1] for i, u, when in rows}
+    assert got == want and None in set(want.values())
+
+
 def test_observed_counts(spark):
     df, seen = metrics.observed(spark.range(10), even=F.col("id") % 2 == 0)
     df.write.format("noop").mode("overwrite").save()
