@@ -319,6 +319,46 @@ def test_network_sees_the_end_of_a_text():
     assert np.allclose(both, [quality_net.score(net, [t])[0] for t in (a, b"short", b)])
 
 
+def score_by_hand(net, text):
+    """The network one window, segment and chunk at a time."""
+    segments = max(2, -(-len(text) // quality_net.SEGMENT))
+    raw = text + bytes(segments * quality_net.SEGMENT + quality_net.WIDTH - len(text))
+    pooled = []
+    for s in range(segments):
+        own = []
+        for k in range(quality_net.STEPS):
+            at = s * quality_net.SEGMENT + k * quality_net.STRIDE
+            z = net["b1"].astype(float).copy()
+            for j in range(quality_net.WIDTH):
+                z += net["embed"][raw[at + j]].astype(float) @ net["w1"][j].astype(float)
+            own.append(np.maximum(z, 0))
+        pooled.append((np.sum(own, axis=0), np.max(own, axis=0)))
+    top = np.max([np.maximum(np.concatenate([(a[0] + b[0]) / (2 * quality_net.STEPS), np.maximum(a[1], b[1])]) @ net["w2"] + net["b2"], 0) for a, b in zip(pooled, pooled[1:])], axis=0)
+    return 1 / (1 + np.exp(-(np.append(top, np.log1p(len(text)) / 10) @ net["w3"] + net["b3"][0])))
+
+
+def test_scores_equal_brute_force():
+    net = quality_net._start(np.random.default_rng(4))
+    net["embed"][0] = 0
+    texts = [t.encode() for t in ("", "a", sentences(30, 2), "é" * 400, "x" * 127, "y" * 128, "z" * 129)]
+    assert np.allclose(quality_net.score(net, texts), [score_by_hand(net, t) for t in texts], atol=1e-5)
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc": 2.5, "c": 0.5, "idiot": 3.0}, (-1.0, 0.5, 0.3), ("abc d",))
+    random.seed(6)
+    for _ in range(500):
+        text = "".join(random.choice(["a", "b", "c", "d", " ", "-", "idiot", "1", "В"]) for _ in range(random.randint(0, 25)))
+        folded = toxicity.fold(text)
+        covered = {(i, i + 5) for i in range(len(folded)) if folded.startswith(toxicity.fold("abc d"), i) and not (i and folded[i - 1].isalnum())}
+        total = 0.0
+        for i in range(len(folded)):
+            if i and folded[i - 1].isalnum():
+                continue
+            found = [(w, len(e)) for e, w in lexicon.entries.items() if folded.startswith(e, i)]
+            if found and not any(a <= i and i + max(found)[1] <= b for a, b in covered):
+                total += max(found)[0]
+        x, y = (np.log1p(total), np.log1p(100 * total / max(1, len(folded.split())))) if total else (0.0, 0.0)
+        assert abs(lexicon.score(text) - 1 / (1 + np.exp(1.0 - 0.5 * x - 0.3 * y))) < 1e-9, text
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(2)
     net = {k: v.astype(np.float64) for k, v in quality_net._start(rng).items()}
@@ -631,6 +671,36 @@ def test_local_search():
     assert packing.best_fit([], 10) == [] and packing.improve([], [], 10) == []
 
 
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying all."""
+    best = [len(sizes)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            place(i + 1, [r - sizes[i] * (j == k) for j, r in enumerate(rooms)])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_local_search_comes_close_to_the_fewest_bins():
+    random.seed(12)
+    over = 0
+    for _ in range(60):
+        sizes = sorted((random.randint(5, 60) for _ in range(9)), reverse=True)
+        got = len(packing.improve(packing.best_fit(sizes, 100), sizes, 100))
+        least = fewest_bins(sizes, 100)
+        assert packing.least_bins(sizes, 100) <= least <= got <= least + 1
+        over += got - least
+    assert over <= 3
+
+
 def test_local_search_goes_on_through_all_bins():
     # two fit in a bin, never three; 64 donors alone leave 476 bins
     sizes = [50, 50, 50, 49, 49, 49] * 90
