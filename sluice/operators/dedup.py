@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -103,6 +105,32 @@ def record(store: DataFrame | None, events: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.max("ts").alias("ts"))
 
 
+def lru_cached(events: DataFrame, size: int, ttl_ms: int, order: tuple[str, ...] = ("ts",), keys: tuple[str, ...] = tuple(KEY), shards: int = 1) -> DataFrame:
+    """events with cached: whether a least-recently-used cache holds the key when its turn comes.
+
+    A hit makes the key the most recent one and doesn't extend its time; a miss, also of a key whose time is over, puts
+    it with a new time and drops the least recent key beyond size. Such a cache depends on the order of all its rows, so
+    it is one task; shards are caches of size / shards keys each, by a hash of the key, as a cluster would hold them.
+    """
+    if size < shards or shards < 1:
+        raise ValueError("each shard must hold a key")
+    rows = events.withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(shards))).withColumn("_ms", F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(_EARLIEST)))
+
+    def step(held, row):
+        *key, now = row
+        key = tuple(key)
+        hit = key in held and now <= held[key]
+        if not hit:
+            held[key] = now + ttl_ms
+        held.move_to_end(key)
+        if len(held) > size // shards:
+            held.popitem(last=False)
+        return held, hit
+
+    out = ordered_fold(rows, ["_shard"], list(order), OrderedDict, step, [*keys, "_ms"], "cached boolean")
+    return out.select(*events.columns, "cached")
+
+
 def most_recent(keys: DataFrame, size: int, time: str = "ts") -> DataFrame:
     """What a least-recently-used cache of this size holds: the keys of the latest access."""
     last = keys.groupBy(*KEY).agg(F.max(time).alias("last_access"))

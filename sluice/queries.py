@@ -221,6 +221,13 @@ def lru_topk(spark, sf_dir):
     return dedup.most_recent(_doubled(from_table(spark, sf_dir)), 100).withColumn("last_access", F.col("last_access").cast("timestamp_ntz"))
 
 
+@query("""WITH e AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events), p AS (SELECT *, lag(n) OVER (PARTITION BY user_id ORDER BY n) AS before FROM e)
+SELECT p.event_id, p.before IS NOT NULL AND count(DISTINCT b.user_id) < 100 AS cached FROM p LEFT JOIN e b ON b.n > p.before AND b.n < p.n GROUP BY p.event_id, p.before""")
+def lru_cache(spark, sf_dir):
+    """A user is held by a cache of 100 if fewer others came since."""
+    return dedup.lru_cached(from_table(spark, sf_dir), 100, 10**15, ("ts", "event_id"), ("user_id",)).select("event_id", "cached")
+
+
 _SIZES = "t(n, p) AS (VALUES (1000000, 0.001::DOUBLE), (100000, 0.01), (10000, 0.01), (1000, 0.01), (1, 0.5))"
 
 

@@ -122,7 +122,8 @@ class Engine:
         for log in self.logs.values():
             log.begin(n)
         if n > 1:
-            delete(self.spark, *[self._place(name, n - 2) for name in ("clock", "levels", "acquired")])
+            sent = [f"attempts/{k}" for k in range(self.settings.retry.max_retries + 1)] if self.client is not None else []
+            delete(self.spark, *[self._place(name, n - 2) for name in ("clock", "levels", "acquired", *sent)])
         batch = batch.persist()
         before = self.spark.read.parquet(self._place("clock", n - 1)).first()["ms"] if n else -(2**62)
         last = batch.agg(F.max(F.unix_millis("ts"))).first()[0] if self.settings.clock == "event" else int(time.time() * 1000)

@@ -181,6 +181,16 @@ def test_composed_history(spark):
     assert got == [("a", 1, dedup.CACHED), ("a", 2, dedup.NEW), ("b", 1, dedup.PERSISTENT), ("c", 1, dedup.NEW), ("c", 2, dedup.CACHED)]
 
 
+def test_lru_cache(spark):
+    hits = lambda rows, size, ttl, shards=1: [r["cached"] for r in dedup.lru_cached(events(spark, [ride(k, s=s) for k, s in rows]), size, ttl, shards=shards).orderBy("ts").collect()]
+    assert hits([("1", 0), ("2", 1), ("3", 2), ("4", 3), ("1", 4)], 3, 10**9) == [False] * 5
+    assert hits([("1", 0), ("2", 1), ("3", 2), ("1", 3), ("4", 4), ("1", 5), ("2", 6)], 3, 10**9) == [False, False, False, True, False, True, False]
+    assert hits([("1", 0), ("1", 5), ("1", 9), ("1", 16), ("1", 20)], 3, 9_000) == [False, True, True, False, True]
+    assert hits([(str(i % 20), i) for i in range(60)], 20 * 8, 10**9, shards=8) == [False] * 20 + [True] * 40
+    with pytest.raises(ValueError):
+        hits([], 2, 1, shards=3)
+
+
 def test_actions_without_type_or_service_fail(spark, tmp_path):
     own = [Campaign("c", "RIDE", RIDE, actions=(Action(None, "s"), Action("SEND_MESSAGE", "  "), *SEND))]
     ev = events(spark, [ride("a"), ride("b", s=1)])
