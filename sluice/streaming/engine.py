@@ -68,6 +68,7 @@ class Engine:
     def rebuild(self) -> None:
         """Takes the registry's campaigns as they are now, from the next batch on."""
         self.campaigns = self.registry.snapshot()
+        self.table = campaigns.campaign_table(self.spark, self.campaigns)
 
     def start(self, events: DataFrame, once: bool = False):
         writer = events.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.path}/checkpoint")
@@ -90,6 +91,9 @@ class Engine:
     def _put(self, df: DataFrame, name: str, n: int | str) -> DataFrame:
         return pipeline.written(df, self._place(name, n))[0]
 
+    def _row(self, **values: int) -> DataFrame:
+        return self.spark.range(0, 1, 1, 1).select(*[F.lit(v).cast("long").alias(c) for c, v in values.items()])
+
     def _passed(self, rows: DataFrame, n: int) -> DataFrame:
         """Rows that reach a rule: earlier evaluations count against the limit, earlier matches against the budget."""
         used, spent = self.logs["used"].read(n), self.logs["spent"].read(n)
@@ -128,9 +132,12 @@ class Engine:
         before = self.spark.read.parquet(self._place("clock", n - 1)).first()["ms"] if n else -(2**62)
         last = batch.agg(F.max(F.unix_millis("ts"))).first()[0] if self.settings.clock == "event" else int(time.time() * 1000)
         self._now = before if last is None else max(before, last)
-        table = campaigns.campaign_table(self.spark, self.campaigns)
-        match = lambda new: campaigns.match(new, table, len(self.campaigns), self.settings.clock)
-        evaluate = lambda new: gate_rows(self, match(new), n).drop("payload")
+        own, table = self.campaigns, self.table
+
+        def evaluate(new: DataFrame) -> DataFrame:
+            rows = self._passed(campaigns.match(new, table, len(own), self.settings.clock), n)
+            return pipeline.gate(rows, own, self.fields, self.settings, self.order, used="_spent").drop("payload")
+
         _, done, counts = pipeline.settled(batch, self.settings.dedup_ttl_ms, evaluate, lambda name: self._place(name, n), self._seen(batch, n))
         batch.unpersist()
         requests = self._put(actions.fan_out(done.filter("triggered")), "requests", n)
@@ -141,8 +148,8 @@ class Engine:
         self.logs["seen"].add(new.join(fired, dedup.KEY, "left").select(*dedup.KEY, "until_ms", F.coalesce("fired", F.lit(False)).alias("fired")), n)
         self.logs["used"].add(done.groupBy("campaign_id", "user_id").agg(F.count(F.lit(1)).alias("n_used")), n)
         self.logs["spent"].add(done.groupBy("campaign_id", "budget_epoch").agg(F.count_if("triggered").alias("n_spent")), n)
-        self.logs["counts"].add(self.spark.createDataFrame([counts], ", ".join(f"{c} long" for c in counts)), n)
-        self._put(self.spark.createDataFrame([(self._now,)], "ms long"), "clock", n)
+        self.logs["counts"].add(self._row(**counts), n)
+        self._put(self._row(ms=self._now), "clock", n)
 
     def _dispatch(self, requests: DataFrame, n: int, before: int) -> None:
         """Answers to the batch's requests and to earlier ones whose delay ends."""
@@ -194,8 +201,9 @@ class Engine:
     def metrics(self) -> DataFrame:
         """One row of the pipeline's seven counters, which ride along with each batch."""
         n = self.batches()
-        rows = self.logs["counts"].read(n) if n else self.spark.createDataFrame([(0,) * 7], ", ".join(f"{c} long" for c in (*pipeline.EVENT_COUNTS, *pipeline.RULE_COUNTS)))
-        return rows.agg(*[F.sum(c).alias(c) for c in (*pipeline.EVENT_COUNTS, *pipeline.RULE_COUNTS)])
+        names = (*pipeline.EVENT_COUNTS, *pipeline.RULE_COUNTS)
+        rows = self.logs["counts"].read(n) if n else self._row(**dict.fromkeys(names, 0))
+        return rows.agg(*[F.sum(c).alias(c) for c in names])
 
     def batches(self) -> int:
         """How many batches are done: one more than the last with a clock."""
@@ -205,10 +213,6 @@ class Engine:
         return max((int(s.getPath().getName()[2:]) + 1 for s in fs.listStatus(path)), default=0) if fs.exists(path) else 0
 
 
-def gate_rows(engine: Engine, rows: DataFrame, n: int) -> DataFrame:
-    return pipeline.gate(engine._passed(rows, n), engine.campaigns, engine.fields, engine.settings, engine.order, used="_spent")
-
-
 class Coordinator:
     """A query for each of several streams, started and stopped together; counts the events that they have read.
 
