@@ -28,9 +28,11 @@ CAPACITY, END_ID = 4096, 1
 #: Pieces of a group that one task packs; the second round takes bins filled below this part of the capacity.
 GROUP_PIECES, LOOSE_BELOW = 16_000, 0.98
 #: Token runs that a worker's table holds at most; a full one starts anew. Longer ones are not kept.
-TABLE_RUNS, KEPT_CHARS = 300_000, 64
+TABLE_RUNS, KEPT_CHARS = 150_000, 64
 #: Text bytes that are cut at once; each distinct run in them is looked up once.
-CUT_BYTES = 6 << 20
+CUT_BYTES = 4 << 20
+
+
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write each byte: printable Latin-1 as itself, others from U+0100 on in turn."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -376,7 +378,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, row_no: all documents in few sequences.
 
     Null and empty texts are the end id alone. Longer documents than the capacity are cut into full pieces and a last
-    one; others stay whole. Other columns are ignored. sequence_id is a number without meaning.
+    one, however long they are; others stay whole. Ties are broken by doc_id, piece and row; repeated rows have places
+    of their own; an empty table gives no rows. Other columns are ignored. sequence_id is a number without meaning.
     """
     return pack(common.staged(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
 
