@@ -88,8 +88,8 @@ def drop_staged(*frames: DataFrame) -> None:
         drop_folders(df.sparkSession, *{x.rpartition("/")[0] for x in df.inputFiles()})
 
 
-#: Keys that join_spread() broadcasts at most.
-HOT_KEYS = 2000
+#: Keys that join_spread() broadcasts at most, and the text bytes of each: 8 MB in all.
+HOT_KEYS, HOT_BYTES = 2000, 4096
 
 
 def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, by: tuple[str, ...]) -> DataFrame:
@@ -98,12 +98,14 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, count: str, total:
     count names a column of table with how many of the rows have the key at least; the counts add up to total at most.
     Keys of more than total / HOT_KEYS rows, of which there are HOT_KEYS at most, are joined by broadcast, and their
     rows are dealt by the columns `by` instead of the key, so that a key with a third of all rows makes no task larger.
+    Keys whose row holds longer texts than HOT_BYTES are joined like others, by a shuffle that Spark may split.
     """
-    most = max(1, total // HOT_KEYS)
     extra = [c for c in table.columns if c != key]
     found = F.struct(*extra)
-    hot = table.filter(F.col(count) > most).select(F.col(key).alias("_hot_key"), found.alias("_hot"))
-    cold = table.filter(F.col(count) <= most).select(F.col(key).alias("_cold_key"), found.alias("_cold"))
+    wide = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) for f in table.schema.fields if f.dataType.typeName() == "string"), F.lit(0))
+    is_hot = (F.col(count) > max(1, total // HOT_KEYS)) & (wide <= HOT_BYTES)
+    hot = table.filter(is_hot).select(F.col(key).alias("_hot_key"), found.alias("_hot"))
+    cold = table.filter(~is_hot).select(F.col(key).alias("_cold_key"), found.alias("_cold"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     dealt = marked.withColumn("_deal", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*by).cast(rows.schema[key].dataType)))
     both = dealt.join(cold, F.col("_deal") == F.col("_cold_key"), "left").withColumn("_found", F.coalesce("_hot", "_cold")).filter("_found IS NOT NULL")

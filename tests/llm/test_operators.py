@@ -240,6 +240,9 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least")).filter("k <> 8")
     got = common.join_spread(rows, table, "k", "c", 300, ("v",))
     assert got.columns == ["k", "v", "c", "least"] and Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(table, "k").select(got.columns).collect()))
+    rows, table = (df.withColumn("k", F.concat(F.repeat(F.lit("long"), F.when(F.col("k") == 7, 2000).otherwise(1)), F.col("k").cast("string"))) for df in (rows, table))
+    got = common.join_spread(rows, table, "k", "c", 300, ("v",))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, rows.join(table, "k").select(got.columns).collect()))
 
 
 def test_one_of_each_group_stays(spark):
