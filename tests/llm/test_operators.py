@@ -221,17 +221,21 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert jaccard_join.link_components(documents(spark, []).limit(0)).count() == 0
 
 
-def test_a_chain_is_not_compared_all_with_all(spark):
+def test_a_chain_is_not_compared_all_with_all(spark, monkeypatch):
     m = 5000
     w = words(15 * m + 60, 5)
     rows = [(i, " ".join(w[15 * i : 15 * i + 30])) for i in range(m)] + [(m + i, " ".join(w[15 * i : 15 * i + 29]) + " new") for i in range(0, m, 500)]
-    docs = documents(spark, rows)
-    common.ready(spark)
-    sets = jaccard_join._sets(docs, jaccard_join._credits(docs, 5, 1).select("doc_id", "sig"), 5)
-    members, _ = jaccard_join._candidates(jaccard_join._keys(sets, 75), sets, 75)
-    assert members.groupBy("grp").count().agg(F.max("count")).first()[0] < 100 and jaccard_join._dealt(members, sets, 75).count() < 4 * m
-    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(docs).collect()}
+    deal, seen = jaccard_join._dealt, []
+
+    def counted(members, sets, percent):
+        out = common.staged(deal(members, sets, percent), "dealt")
+        seen.append((members.groupBy("grp").count().agg(F.max("count")).first()[0], out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_dealt", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(documents(spark, rows)).collect()}
     assert got == {i: i if i < m else i - m for i in got} and len(got) == len(rows)
+    assert len(seen) == 1 and seen[0][0] < 100 and seen[0][1] < 4 * m
 
 
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
