@@ -444,7 +444,8 @@ def test_dedup_in_batches_and_of_nothing(spark):
     got = exact_dedup.dedup(docs, files_per_batch=1).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == brute_dedup(rows)
     got = exact_dedup.dedup(docs).collect()
-    assert {r["batches"] for r in got} == {exact_dedup.BATCHES}  # each text came in every batch: two met earlier keys
+    met = {r["batches"] for r in got}  # each text came in several batches, which met the keys of earlier ones
+    assert met <= {2, 3} and max(met) == exact_dedup.BATCHES
     at = {(r["file"], r["row"]): r["doc_id"] for r in got}
     assert len(at) == 60 and all(at[r["keep_file"], r["keep_row"]] == r["keep_id"] for r in got)
     kept = exact_dedup.kept_documents(documents(spark, rows + EDGES))
