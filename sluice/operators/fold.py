@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,4 +37,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
                 made.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, made_field.name])
 
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers import this package wherever the driver runs from
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
