@@ -56,7 +56,7 @@ def rate_limited(requests: DataFrame, rates: Mapping[str, Rate], time: str = "cr
         return (held, last), (ok, held)
 
     rows = requests.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp")))
-    out = ordered_fold(rows, ["service"], list(order), lambda: None, lambda s, r: (lambda x: (x[0], [float(x[1][0]), x[1][1]]))(step(s, r)), ["service", "_us"], "_t array<double>")
+    out = ordered_fold(rows, ["service"], list(order), lambda: None, lambda s, r: (lambda x: (x[0], [float(x[1][0]), x[1][1]]))(step(s, r)), ["service", "_us"], "_t array<double>", spans=True)
     return out.select(*requests.columns, (F.col("_t")[0] > 0).alias("allowed"), F.col("_t")[1].alias("tokens_left"))
 
 
@@ -91,7 +91,7 @@ def acquire(requests: DataFrame, rates: Mapping[str, Rate], time: str = "created
         rows = rows.withColumn("_tokens", F.lit(None).cast("double")).withColumn("_since", F.lit(None).cast("long"))
     else:
         rows = rows.join(levels.select("service", F.col("tokens").alias("_tokens"), F.col("us").alias("_since")), "service", "left")
-    out = ordered_fold(rows, ["service"], ["_us", "_try", "request_id"], lambda: None, step, ["service", "_us", "request_id", "_try", "_tokens", "_since"], "_got array<double>")
+    out = ordered_fold(rows, ["service"], ["_us", "_try", "request_id"], lambda: None, step, ["service", "_us", "request_id", "_try", "_tokens", "_since"], "_got array<double>", spans=True)
     won = out.groupBy("request_id").agg(F.min(F.when(F.col("_got")[0] > 0, F.col("_try"))).alias("_won"), F.max_by(F.col("_got")[1], "_try").alias("tokens"), F.max("_us").alias("us"))
     return requests.join(won.select("request_id", F.col("_won").isNotNull().alias("allowed"), F.coalesce(F.col("_won") + 1, F.lit(TOKEN_TRIES)).alias("tries"), "tokens", "us"), "request_id")
 

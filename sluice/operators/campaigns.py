@@ -107,7 +107,7 @@ def replay(commands: DataFrame) -> DataFrame:
     def step(status, row):
         return (row[0], ["yes", row[0]]) if row[0] in TRANSITIONS.get(status, ()) else (status, ["no", status])
 
-    out = ordered_fold(commands, ["campaign_id"], ["seq"], lambda: "DRAFT", step, ["to_status"], "outcome array<string>")
+    out = ordered_fold(commands, ["campaign_id"], ["seq"], lambda: "DRAFT", step, ["to_status"], "outcome array<string>", spans=True)
     return out.select(*commands.columns, (F.col("outcome")[0] == "yes").alias("applied"), F.col("outcome")[1].alias("status"))
 
 

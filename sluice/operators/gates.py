@@ -111,7 +111,7 @@ def consume(requests: DataFrame, budgets: DataFrame, order: tuple[str, ...] = ("
         return (left - amount, True) if left >= amount else (left, False)
 
     ordered = ["_first", *order, "_turn"]
-    out = ordered_fold(rows.withColumn("_first", F.col("_turn") > 0), ["campaign_id"], ordered, lambda: None, step, ["amount", "_budget", "_turn"], "granted boolean")
+    out = ordered_fold(rows.withColumn("_first", F.col("_turn") > 0), ["campaign_id"], ordered, lambda: None, step, ["amount", "_budget", "_turn"], "granted boolean", spans=True)
     return out.filter("_turn = 2").select(*requests.columns, "granted")
 
 

@@ -44,4 +44,4 @@ def admit(work: DataFrame, permits: int, keys: list[str], order: list[str]) -> D
         ends = [e for e in ends if e > start]
         return ([*ends, end], True) if len(ends) < permits else (ends, False)
 
-    return ordered_fold(work, keys, order, list, step, ["start_ms", "end_ms"], "admitted boolean")
+    return ordered_fold(work, keys, order, list, step, ["start_ms", "end_ms"], "admitted boolean", spans=True)

@@ -13,6 +13,7 @@ from .model import Action, And, Campaign, Leaf, Not, Op, Or, Rate, Retry, Source
 from .operators import abtest, actions, bloom, campaigns, dedup, enrichment, gates, metrics, pipeline, routing, schedule
 from .plans.rulecompile import compile_rule
 from .sources.events import from_table, table_fields
+from .sources.shared import fresh_dir as _shared
 
 RULE = And((Leaf("payload.k", Op.GT, 50), Not(Leaf("payload.value", Op.LT, 20))))
 _NOTIFY = (Action("SEND_MESSAGE", "notify", {"msg": "hello"}), Action("GRANT_REWARD", "rewards", {"points": "5"}))
@@ -574,19 +575,6 @@ def enrich_as_of(spark, sf_dir):
 # --- streams
 
 
-def _shared(spark, name):
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-    return f"{base.rstrip('/')}/sluice-streams/{name}-{uuid.uuid4().hex}"
-
-
 def _as_stream(spark, rows: DataFrame, name: str, batches: int) -> DataFrame:
     """The rows as a stream that brings those of each number in the column arrival as one batch, in order."""
     path = _shared(spark, name)

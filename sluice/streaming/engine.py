@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.fields import Fields
 from ..model import UNLIMITED_ACTIONS, Campaign, Settings
 from ..operators import actions, campaigns, dedup, gates, pipeline, schedule
-from .log import Log, delete
+from ..sources.shared import delete
+from .log import Log
 
 
 def deduplicated(events: DataFrame, ttl: str = "24 hours") -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import delete
+
 #: Segments of one size that are merged into one of the next size.
 WIDTH = 8
 
@@ -56,9 +58,3 @@ class Log:
             index = n // WIDTH**level - 1
             delete(self.spark, *[self._at(level - 1, index * WIDTH + k) for k in range(WIDTH)])
             level += 1
-
-
-def delete(spark: SparkSession, *paths: str) -> None:
-    for p in paths:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
