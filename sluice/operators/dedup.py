@@ -127,7 +127,7 @@ def lru_cached(events: DataFrame, size: int, ttl_ms: int, order: tuple[str, ...]
             held.popitem(last=False)
         return held, hit
 
-    out = ordered_fold(rows, ["_shard"], list(order), OrderedDict, step, [*keys, "_ms"], "cached boolean")
+    out = ordered_fold(rows, ["_shard"], list(order), OrderedDict, step, [*keys, "_ms"], "cached boolean", spans=True)
     return out.select(*events.columns, "cached")
 
 
