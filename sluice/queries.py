@@ -575,14 +575,6 @@ def enrich_as_of(spark, sf_dir):
 # --- streams
 
 
-def _as_stream(spark, rows: DataFrame, name: str, batches: int) -> DataFrame:
-    """The rows as a stream that brings those of each number in the column arrival as one batch, in order."""
-    path = _shared(spark, name)
-    for i in range(batches):
-        rows.filter(F.col("arrival") == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup(spark, sf_dir):
     from .streaming.engine import deduplicated
@@ -610,7 +602,9 @@ def stream_pipeline(spark, sf_dir):
     last = ev.agg(F.max("event_id")).first()[0] or 0
     first = _doubled(ev).withColumn("arrival", F.expr(f"int(event_id * 4 div {last + 1})"))
     again = ev.filter("event_id % 5 = 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 MINUTES")).withColumn("arrival", F.lit(4))
-    stream = _as_stream(spark, first.unionByName(again), "in", 5)
-    engine = Builder.defaults(spark).campaigns(METERED).fields(table_fields()).state(_shared(spark, "state")).build().start(stream, once=True)
-    engine.wait()
+    rows, path = first.unionByName(again), _shared(spark, "in")
+    engine = Builder.defaults(spark).campaigns(METERED).fields(table_fields()).state(_shared(spark, "state")).build()
+    for i in range(5):  # all files of an arrival, which many tasks write, are one batch
+        rows.filter(F.col("arrival") == i).write.mode("append").parquet(path)
+        engine.start(spark.readStream.schema(rows.schema).parquet(path), once=True).wait()
     return engine.metrics()
