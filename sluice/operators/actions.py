@@ -39,8 +39,8 @@ def submittable(action: Column) -> Column:
 def rate_limited(requests: DataFrame, rates: Mapping[str, Rate], time: str = "created_at", order: tuple[str, ...] = ("created_at", "request_id"), default: Rate = Rate(), tokens: int = 1) -> DataFrame:
     """requests with allowed and tokens_left: each service's bucket starts full, refills by the time passed and gives `tokens` a request.
 
-    Time that runs backwards refills nothing. A service's requests pass in order, one at a time in bounded memory; the
-    order of its tokens is what they depend on, so one service is one task.
+    Time that runs backwards refills nothing. A service's requests pass in order, one at a time in bounded memory; those
+    of a service with very many are folded in spans one after another.
     """
 
     def step(state, row):

@@ -109,8 +109,8 @@ def lru_cached(events: DataFrame, size: int, ttl_ms: int, order: tuple[str, ...]
     """events with cached: whether a least-recently-used cache holds the key when its turn comes.
 
     A hit makes the key the most recent one and doesn't extend its time; a miss, also of a key whose time is over, puts
-    it with a new time and drops the least recent key beyond size. Such a cache depends on the order of all its rows, so
-    it is one task; shards are caches of size / shards keys each, by a hash of the key, as a cluster would hold them.
+    it with a new time and drops the least recent key beyond size. Such a cache depends on the order of all its rows, which
+    are folded in spans one after another; shards are caches of size / shards keys each, by a hash of the key, as a cluster would hold them.
     """
     if size < shards or shards < 1:
         raise ValueError("each shard must hold a key")

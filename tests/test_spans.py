@@ -14,7 +14,7 @@ T0 = datetime(2024, 1, 1)
 
 @pytest.fixture
 def spans(monkeypatch):
-    """Spans of 40 rows; what is called twice says how many rows each task of a chain took."""
+    """Spans of 40 rows."""
     monkeypatch.setattr(fold, "SPAN_ROWS", 40)
 
 
