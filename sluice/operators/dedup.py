@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .fold import ordered_fold
+from .fold import dealt, ordered_fold
 
 KEY = ["event_id", "event_type"]
 NEW, CACHED, PERSISTENT = "NEW_EVENT", "DUPLICATE_CACHED", "DUPLICATE_PERSISTENT"
@@ -37,42 +37,45 @@ def within_ttl(events: DataFrame, ttl_ms: int, time: str = "ts", order: tuple[st
     return ordered_fold(ms, KEY, list(order), lambda: None, step, ["_ms"], "accepted boolean").drop("_ms")
 
 
-def composed(events: DataFrame, ttl_ms: int, history: DataFrame | None = None, fired: DataFrame | None = None) -> DataFrame:
-    """events with occurrence (its number among the key's, by time) and dedup_status, by windows and fired actions together.
+def composed(events: DataFrame, ttl_ms: int, history: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """events with occurrence (its number among the key's, by time), acceptance and dedup_status, as if none of them fired an action.
 
     An occurrence is a duplicate if an accepted one of its key lies within the time to live before it (cached), or if any
-    accepted one before it has fired an action (persistent). history (KEY, until_ms, fired) is what earlier rows leave;
-    fired (KEY, occurrence) names the rows among these that fire if they are accepted. Only keys that occur more than
-    once pass through a fold.
+    accepted one before it has fired an action (persistent). history (KEY, until_ms, fired) is what earlier rows leave.
+    acceptance says how many occurrences of the key were accepted up to this one; 0 is what history alone settles. What
+    fires among these rows only cuts a key's acceptances short: see cut(). tasks: as in ordered_fold().
     """
-    w = W.Window.partitionBy(*KEY)
-    rows = events.withColumn("occurrence", F.row_number().over(w.orderBy("ts"))).withColumn("_of", F.count(F.lit(1)).over(w)).withColumn("_ms", F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(_EARLIEST)))
-    if history is None:
-        rows = rows.withColumn("_until", F.lit(None).cast("long")).withColumn("_fired", F.lit(False))
-    else:
+    rows = dealt(events, KEY, tasks).withColumn("_ms", F.coalesce(F.unix_millis(F.col("ts").cast("timestamp")), F.lit(_EARLIEST)))
+    inputs = ["_ms"]
+    if history is not None:
         held = history.groupBy(*KEY).agg(F.max("until_ms").alias("_until"), F.bool_or("fired").alias("_fired"))
-        rows = rows.join(held, KEY, "left").withColumn("_fired", F.coalesce("_fired", F.lit(False)))
-    once = F.when(F.col("_ms") <= F.col("_until"), CACHED).when(F.col("_fired"), PERSISTENT).otherwise(NEW)
-    alone = rows.filter("_of = 1").withColumn("dedup_status", once)
-    several = rows.filter("_of > 1")
-    if fired is None:
-        several = several.withColumn("_fires", F.lit(False))
-    else:
-        several = several.join(fired.select(*KEY, "occurrence").distinct().withColumn("_fires", F.lit(True)), [*KEY, "occurrence"], "left").withColumn("_fires", F.coalesce("_fires", F.lit(False)))
+        rows = rows.join(held, KEY, "left")
+        inputs += ["_until", "_fired"]
 
     def step(state, row):
-        now, until, has_fired, fires = row
-        if state is not None:
-            until, has_fired = state
+        now, *before = row
+        n, accepted, until, has_fired = state or (0, 0, *(before or (None, False)))
+        n += 1
         if until is not None and now <= until:
-            return (until, has_fired), CACHED
+            return (n, accepted, until, has_fired), [n, accepted, 0]
         if has_fired:
-            return (until, True), PERSISTENT
-        return (now + ttl_ms, fires), NEW
+            return (n, accepted, until, has_fired), [n, 0, 1]
+        return (n, accepted + 1, now + ttl_ms, has_fired), [n, accepted + 1, 2]
+
+    folded = ordered_fold(rows, KEY, ["ts"], lambda: None, step, inputs, "_place array<long>", tasks=tasks)
+    status = F.element_at(F.array(*map(F.lit, (CACHED, PERSISTENT, NEW))), F.col("_place")[2].cast("int") + 1)
+    return folded.select(*events.columns, F.col("_place")[0].alias("occurrence"), F.col("_place")[1].alias("acceptance"), status.alias("dedup_status"))
 
-    folded = ordered_fold(several, KEY, ["occurrence"], lambda: None, step, ["_ms", "_until", "_fired", "_fires"], "dedup_status string")
-    columns = [*events.columns, "occurrence", "dedup_status"]
-    return alone.select(*columns).unionByName(folded.select(*columns))
+
+def cut(marked: DataFrame, fired: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows of composed() with dedup_status as it is once fired (KEY, fired_at: the first acceptance that fired an action) is known.
+
+    What comes after that acceptance's window is persistent. First acceptances and their windows can't depend on it, so
+    only later rows meet fired, by a hash of the key and without being sorted.
+    """
+    late = dealt(marked.filter("acceptance > 1"), KEY, tasks).join(dealt(fired, KEY, tasks).hint("shuffle_hash"), KEY, "left")
+    status = F.when(F.col("acceptance") > F.col("fired_at"), PERSISTENT).otherwise(F.col("dedup_status"))
+    return marked.filter("acceptance <= 1").unionByName(late.withColumn("dedup_status", status).select(*marked.columns))
 
 
 def with_status(events: DataFrame, store: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:

@@ -21,12 +21,14 @@ from ..sources.shared import delete, fresh_dir
 
 #: Rows that one task sorts and folds of a hot key, about; a key with more is a chain of such spans.
 SPAN_ROWS = 1_000_000
+#: Rows that one task of a fold sorts, about, where the number of tasks is asked for.
+TASK_ROWS = 400_000
 #: Hot keys whose chains run side by side.
 CHAINS = 8
 _PART, _STATE = "_fold_part", "_fold_state"
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, object]], inputs: list[str], out: str, spans: bool = False) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], tuple[object, object]], inputs: list[str], out: str, spans: bool = False, tasks: int | None = None) -> DataFrame:
     """df with the column that step makes: step(state, the row's inputs) -> (state, value); each key begins with start().
 
     Rows are dealt by key and sorted on disk where they must be; the fold passes over sorted Arrow batches and holds one
@@ -37,13 +39,15 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     written to the shared folder in spans by order, which many tasks sort; then span after span of a key is folded, each
     from the state that the one before has left. So no task reads, sorts or holds more than a span, and nothing but a
     state goes through the driver. The result is the same.
+
+    tasks: how many tasks rows are dealt over, as by tasks_for(); Spark settles it by compressed size else.
     """
     made_field = StructType.fromDDL(out).fields[0]
     env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):  # workers import this package wherever the driver runs from
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     run = _runner(df, keys, start, step, inputs, made_field)
-    whole = lambda rows: rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run(None), StructType([*df.schema.fields, made_field]))
+    whole = lambda rows: dealt(rows, keys, tasks).sortWithinPartitions(*keys, *order).mapInArrow(run(None), StructType([*df.schema.fields, made_field]))
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_PART)).filter(F.col(_PART) > SPAN_ROWS).collect() if spans else []  # one key a span at most
     if not hot:
         return whole(df)
@@ -52,6 +56,16 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     return chained.unionByName(whole(df.withColumn(_PART, part).filter(F.col(_PART).isNull()).drop(_PART)))
 
 
+def tasks_for(df: DataFrame) -> int | None:
+    """How many tasks sort df without spilling; None where it is small. Rows that compress well are more than their shuffled size tells."""
+    rows = df.count()
+    return None if rows <= TASK_ROWS else max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    return rows.repartition(*keys) if tasks is None else rows.repartition(tasks, *keys)
+
+
 def _is_key(keys: list[str], row) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k])) for k in keys])
 

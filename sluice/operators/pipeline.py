@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.fields import Fields, event_fields
 from ..model import HIGH_BUDGET, UNLIMITED_ACTIONS, Campaign, Settings
 from ..plans.rulecompile import compile_campaign_rules
+from ..sources.shared import delete, replace
 from . import abtest, actions, campaigns, dedup, gates
+from .fold import tasks_for
 
 #: The seven counters, by the rows that they are taken from.
 EVENT_COUNTS = ("events_received", "events_processed", "duplicates_filtered")
@@ -88,21 +90,36 @@ def written(df: DataFrame, path: str, counts: list[Column] | None = None) -> tup
 
 
 def settled(events: DataFrame, ttl_ms: int, evaluate_new: Callable[[DataFrame], DataFrame], path: Callable[[str], str], history: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
-    """Marked events, evaluated rows and counts, in which an occurrence is a duplicate by dedup.composed().
+    """Marked events, evaluated rows and counts, in which an occurrence is a duplicate by dedup.composed() and dedup.cut().
 
-    Whether an occurrence fires depends on the gates, and whether a later one of its key passes on that. Where a key is
-    accepted more than once the two are repeated until the marks stay; each turn settles at least the earliest row that
-    was wrong, and one turn is enough where no key returns after its window.
+    Events are dealt and folded by key once. Whether an occurrence fires depends on the gates, and whether a later one of
+    its key passes on that: where a key is accepted more than once, evaluation is repeated until the first firings stay.
+    A turn moves only rows after a first window, and writes the firings; each settles at least the earliest row that was
+    wrong. Where no key returns after its window, one evaluation is enough.
     """
-    fired, before = None, None
+    spark, tasks = events.sparkSession, tasks_for(events)
+    marked, counts = written(dedup.composed(events, ttl_ms, history, tasks), path("events"), [*event_counts(), F.count_if(F.col("acceptance") > 1).alias("late")])
+    is_new = F.col("dedup_status") == dedup.NEW
+    if not counts.pop("late"):
+        evaluated, more = written(evaluate_new(marked.filter(is_new)), path("evaluated"), rule_counts())
+        return marked, evaluated, counts | more
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*dedup.KEY, "fired_at").cast("decimal(20,0)")).alias("mark")]
+    fired, before = written(first_fired(evaluate_new(marked.filter(is_new))), path("fired"), mark)
     while True:
-        marked, counts = written(dedup.composed(events, ttl_ms, history, fired), path("events"), [*event_counts(), F.sum(F.xxhash64(*dedup.KEY, "occurrence", "dedup_status").cast("decimal(20,0)")).alias("mark")])
-        new = marked.filter(F.col("dedup_status") == dedup.NEW)
-        evaluated, more = written(evaluate_new(new), path("evaluated"), rule_counts())
-        mark = counts.pop("mark")
-        if mark == before or (before is None and new.groupBy(*dedup.KEY).count().filter("count > 1").isEmpty()):
-            return marked, evaluated, counts | more
-        fired, before = fired_by(evaluated).select(*dedup.KEY, "occurrence"), mark
+        evaluated, more = written(evaluate_new(dedup.cut(marked, fired, tasks).filter(is_new)), path("evaluated"), rule_counts())
+        fired, now = written(first_fired(evaluated), path("fired"), mark)
+        if now == before:
+            break
+        before = now
+    _, counts = written(dedup.cut(marked, fired, tasks), path("settled"), event_counts())
+    replace(spark, path("settled"), path("events"))
+    delete(spark, path("fired"))
+    return spark.read.schema(marked.schema).parquet(path("events")), evaluated, counts | more
+
+
+def first_fired(evaluated: DataFrame) -> DataFrame:
+    """KEY, fired_at: each key's first acceptance that fired an action."""
+    return fired_by(evaluated).groupBy(*dedup.KEY).agg(F.min("acceptance").alias("fired_at"))
 
 
 def fired_by(evaluated: DataFrame) -> DataFrame:

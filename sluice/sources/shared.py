@@ -23,3 +23,11 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a folder to the place of another, which is deleted."""
+    delete(spark, target)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not path(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path(source), path(target)):
+        raise OSError(f"{source} can't be moved to {target}")
